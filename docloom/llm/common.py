@@ -129,3 +129,10 @@ def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(solid & ~before)
     ends = np.flatnonzero(solid & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker."""
+    import pyspark
+
+    return pyspark.__dict__.setdefault("_docloom_worker_cache", {})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import secrets, simhash
+from docloom.llm import packing, secrets, simhash
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash"] = op1_simhash
+
+
+def public_tokenizer() -> tuple[str, str, str]:
+    """Files of the public byte-level BPE vocabulary and its pattern, as installed on every executor."""
+    import public_tokenizers
+
+    return (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            public_tokenizers.PATTERN)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), *public_tokenizer()))
+
+
+QUERIES["op3_packing"] = op3_packing
