@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, secrets, simhash
+from docloom.llm import fingerprints, packing, secrets, simhash
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_packing"] = op3_packing
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_fingerprints"] = op4_fingerprints
