@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, fingerprints, packing, secrets, simhash
+from docloom.llm import chat, fingerprints, language, packing, secrets, simhash
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_chat"] = op8_chat
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES["op9_language"] = op9_language
