@@ -109,16 +109,12 @@ def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFr
                       ).first().p if n > 1 else []
     bounds = sorted(set(bounds or []))
     bucket = F.lit(0)
-    if bounds:
-        # binary search as an expression: the number of bounds at or below doc_id
-        edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-        low = F.lit(0)
-        step = 1 << (len(bounds).bit_length() - 1)
-        while step:
-            reach = low + step
-            low = F.when((reach <= len(bounds)) & (F.try_element_at(edges, reach) <= F.col("doc_id")), reach).otherwise(low)
-            step >>= 1
-        bucket = low
+    if bounds:  # the number of bounds at or below doc_id: first of every width-th, then within that stretch
+        width = int(len(bounds) ** 0.5) + 1
+        edges, doc = F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("doc_id")
+        coarse = F.array(*[F.lit(b).cast("long") for b in bounds[width - 1 :: width]])
+        passed = width * F.size(F.filter(coarse, lambda e: e <= doc))
+        bucket = passed + F.size(F.filter(F.slice(edges, passed + 1, width), lambda e: e <= doc))
     return rows.select(F.coalesce(bucket, F.lit(0)).cast("int").alias("bucket"), "doc_id", "text"), n
 
 
