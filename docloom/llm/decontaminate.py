@@ -37,15 +37,21 @@ INSIDE = np.zeros(256, bool)
 INSIDE[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and the index of each text's first (and the end)."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lower-cased words of all texts: prefix sums to hash by, byte starts, byte ends, and the
+    index of each text's first word (and the end)."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     body = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-    solid = INSIDE[body]
-    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    edge = np.diff(np.concatenate([[0], INSIDE[body].view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return range_hash(prefix_hash(body), starts, ends), np.searchsorted(starts, offsets)
+    return prefix_hash(body), starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and the index of each text's first (and the end)."""
+    prefix, starts, ends, index = words_of(texts)
+    return range_hash(prefix, starts, ends), index
 
 
 def simhash(shingles: np.ndarray) -> int:
