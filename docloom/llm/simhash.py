@@ -162,15 +162,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucke
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "label").select("fp", "component_id")
     return base.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id.
-
-    Rows with a null doc_id stay, as do documents without words. Of rows that share a doc_id one stays.
-    """
-    kept = docs.columns
-    found = near_duplicates(docs.filter("doc_id is not null"), words)
-    stay = found.filter((F.col("doc_id") == F.col("component_id")) | (F.col("fp") == 0)).select("doc_id").distinct()
-    once = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*kept)
