@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased. For each benchmark item of L words every window of
 L words of a document (the whole document, if shorter) is a candidate. Windows that hold too few of
-the benchmark's shingles to reach the similarity are dropped first, which loses none. The others get a
+the shingles of items of that length to reach the similarity are dropped first, which loses none. The others get a
 SimHash of their shingles; fingerprints within ``RADIUS`` bits of an item's agree with it on one of four
 16-bit blocks up to a quarter of that, so probing each block's index with all values that near
 finds all of them. Survivors are verified by weighted similarity: the sum of minima over the sum of
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, gram_hash, mix, powers, prefix_hash, range_hash
+from docloom.llm.common import gram_hash, mix, powers, prefix_hash, range_hash
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Benchmark bytes searched at a time.
@@ -117,8 +117,12 @@ class Benchmark:
                 fps.append(simhash(shingles))
         self.index = Hamming(np.array(fps, np.uint64), radius)
         self.short = [i for i, n in enumerate(self.lengths) if n < words]
-        self.long = sorted({n for n in self.lengths if n >= words})
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        of = np.repeat(np.array(self.lengths, np.int64), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
+        self.grams = np.unique(flat)
+        #: Lengths of the items that have each shingle: those of number i lie from lengths_at[i] on.
+        pairs = np.unique(np.stack([np.searchsorted(self.grams, flat), of]), axis=1)
+        self.gram_lengths, self.lengths_at = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.grams) + 1))
         size = 1 << max(16, int(4 * len(self.grams)).bit_length())
         self.mask = np.uint64(size - 1)
         self.seen = np.zeros(size, bool)
@@ -145,19 +149,27 @@ def search(hashes: np.ndarray, hits: np.ndarray, grams: np.ndarray, bench: Bench
     ``grams`` are the document's shingles and ``hits`` which of them the benchmark has.
     """
     best: dict[int, tuple] = {}
-    total = np.concatenate([[0], np.cumsum(hits)])
     for i in bench.short:  # an item shorter than a shingle matches as a whole
         length = bench.lengths[i]
         own = gram_hash(prefix_hash(hashes), length) if len(hashes) >= length else np.zeros(0, np.uint64)
         at = np.flatnonzero(own == np.uint64(next(iter(bench.counts[i]))))
         if len(at):
             best[bench.ids[i]] = (1.0, 0, -int(at[0]), length)
-    for length in bench.long:
+    at = np.flatnonzero(hits)
+    gram = np.searchsorted(bench.grams, grams[at])
+    first, n = bench.lengths_at[gram], np.diff(bench.lengths_at)[gram]
+    place = np.repeat(at, n)
+    of = bench.gram_lengths[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(place))] if len(at) else at
+    for length in np.unique(of).tolist():
         m = length - bench.words + 1
         span = min(m, len(grams))
         need = int(np.ceil(least * m - 1e-9))
-        if span < need or total[-1] < need:
+        mine = place[of == length]
+        if length < bench.words or span < need or len(mine) < need:
             continue
+        marks = np.zeros(len(grams) + 1, np.int64)
+        marks[mine + 1] = 1
+        total = np.cumsum(marks)
         for s in np.flatnonzero(total[span:] - total[:-span] >= need).tolist():
             part = grams[s : s + span]
             near = [x for x in bench.index.within(simhash(part)) if bench.lengths[x[0]] == length]
@@ -173,34 +185,33 @@ def search(hashes: np.ndarray, hits: np.ndarray, grams: np.ndarray, bench: Bench
         yield item, alike, -distance, -start, n
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], words: int, least: float, radius: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # of bounded size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value, words, radius)
-        names = ["doc_id", "item_id", "similarity", "hamming", "start_word", "n_words"]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
-        for batch in batches:
-            ids, texts, out = batch.column(0).to_pylist(), batch.column(1), []
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
-            first = 0
-            while first < len(ids):
-                end = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 21, "right")) + first)
-                hashes, index = word_hashes(texts.slice(first, end - first).to_pylist())
-                grams = gram_hash(prefix_hash(hashes), words)  # those across two texts are cut off below
-                hits = bench.known(grams) if len(bench.grams) else np.zeros(len(grams), bool)
-                before = np.concatenate([[0], np.cumsum(hits)])
-                for i in range(end - first):
-                    a, b = int(index[i]), int(index[i + 1])
-                    z = max(a, b - words + 1)
-                    if bench.short or (z > a and before[z] > before[a]):
-                        for found in search(hashes[a:b], hits[a:z], grams[a:z], bench, least):
-                            out.append((ids[first + i], *found))
-                first = end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
-
-    return docs.mapInArrow(run, FOUND)
+def _found(texts: pa.Array, bench: Benchmark, least: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item_id, similarity, distance, start, words) over all texts of a batch."""
+    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 21, "right")) + first)
+        hashes, index = word_hashes(texts.slice(first, end - first).fill_null("").to_pylist())
+        grams = gram_hash(prefix_hash(hashes), bench.words)  # those across two texts are cut off below
+        hits = bench.known(grams) if len(bench.grams) else np.zeros(len(grams), bool)
+        before = np.concatenate([[0], np.cumsum(hits)])
+        for i in range(end - first):
+            a, b = int(index[i]), int(index[i + 1])
+            z = max(a, b - bench.words + 1)
+            if bench.short or (z > a and before[z] > before[a]):
+                for found in search(hashes[a:b], hits[a:z], grams[a:z], bench, least):
+                    yield first + i, *found
+        first = end
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items, by blocks of about ``block_bytes``."""
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    held = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = int(held // block_bytes) + 1
+    for block in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield sorted((r.item_id or 0, r.text) for r in part.collect())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = SIMILARITY,
@@ -208,17 +219,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
     """(doc_id, item_id, similarity, hamming, start_word, n_words): the best window of every item in every
     document of ``docs`` (doc_id, text) that holds one at weighted similarity ``least`` or more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    held = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = int(held // block_bytes) + 1
-    made = []
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        made.append(_pass(rows, sorted((r.item_id or 0, r.text) for r in part.collect()), words, least, radius))
-    return reduce(DataFrame.unionByName, made)
 
+    def search_all(items: list[tuple[int, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # of bounded size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(shared.value, words, radius)
+            names = ["doc_id", "item_id", "similarity", "hamming", "start_word", "n_words"]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                out = [(ids[row], *found) for row, *found in _found(batch.column(1), bench, least)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
+
+        return rows.mapInArrow(run, FOUND)
+
+    return reduce(DataFrame.unionByName, [search_all(items) for items in _blocks(benchmark, block_bytes)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = SIMILARITY,
+          radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage, in the same pass that finds them."""
+    for items in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(shared.value, words, radius)
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
+                for row, *_ in _found(batch.column(batch.schema.names.index("text")), bench, least):
+                    bad[row] = True
+                yield batch.filter(pa.array(~bad))
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; rows with a null doc_id stay."""
-    bad = cut(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
