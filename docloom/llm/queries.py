@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, fingerprints, language, packing, quality, secrets, simhash
+from docloom.llm import chat, decontaminate, fingerprints, language, packing, quality, secrets, simhash, suffixes
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_quality"] = op10_quality
+
+
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.cleaned(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op2_suffixes"] = op2_suffixes
