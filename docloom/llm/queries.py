@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, fingerprints, language, packing, quality, secrets, simhash, suffixes
+from docloom.llm import chains, chat, decontaminate, fingerprints, language, packing, quality, secrets, simhash, suffixes
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_suffixes"] = op2_suffixes
+
+
+def op7_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_chains"] = op7_chains
