@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import let, strip
 
 # Chart kinds by the names an extractor gives them.
 CHART_KINDS = {"bar": "bar", "grouped_bar": "bar", "stacked_bar": "bar", "line": "line", "scatter": "scatter",
@@ -50,10 +50,10 @@ def chart_type(raw: Column) -> Column:
 def chart_axes(text: Column) -> Column:
     """(title, x_axis, y_axis) of text read from a chart: its first line, and the first two later lines
     that name a measure."""
-    lines = _lines(text)
-    named = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.rlike(AXIS))
     at = lambda a, i: F.coalesce(F.try_element_at(a, F.lit(i)), F.lit(""))
-    return F.struct(at(lines, 1).alias("title"), at(named, 1).alias("x_axis"), at(named, 2).alias("y_axis"))
+    later = lambda lines: F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.rlike(AXIS))
+    return let(_lines(text), lambda lines: let(later(lines), lambda named: F.struct(
+        at(lines, 1).alias("title"), at(named, 1).alias("x_axis"), at(named, 2).alias("y_axis"))))
 
 
 def chart_values(raw: Column) -> Column:
@@ -80,13 +80,13 @@ def chart_description(kind: Column, title: Column, x_axis: Column, y_axis: Colum
 
 def ocr_table(text: Column) -> Column:
     """(columns, rows) of a table read by OCR: cells between bars if any line has one, else words."""
-    lines = _lines(text)
-    barred = F.exists(lines, lambda x: x.contains("|"))
-    cells = F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|"), strip), lambda c: c != ""))
-    grid = F.when(barred, F.filter(cells, lambda r: F.size(r) > 0)).otherwise(F.transform(lines, lambda x: F.split(x, r"(?U)\s+")))
+    cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), strip), lambda c: c != "")
+    grid = let(_lines(text), lambda lines: F.when(
+        F.exists(lines, lambda x: x.contains("|")), F.filter(F.transform(lines, cells), lambda r: F.size(r) > 0)).otherwise(
+        F.transform(lines, lambda x: F.split(x, r"(?U)\s+"))))
     none = F.expr("cast(array() as array<string>)")
-    return F.struct(F.coalesce(F.try_element_at(grid, F.lit(1)), none).alias("columns"),
-                    F.slice(grid, 2, F.greatest(F.size(grid), F.lit(1))).alias("rows"))
+    return let(grid, lambda g: F.struct(F.coalesce(F.try_element_at(g, F.lit(1)), none).alias("columns"),
+                                        F.slice(g, 2, F.greatest(F.size(g), F.lit(1))).alias("rows")))
 
 
 def table_description(columns: Column, n_rows: Column) -> Column:
@@ -124,12 +124,12 @@ def equation_type(text: Column, width: Column, height: Column) -> Column:
 
 def equation_description(text: Column, expression: Column, kind: Column) -> Column:
     shown = F.when(F.coalesce(expression, F.lit("")) != "", expression).otherwise(text)
-    subject = F.regexp_extract(text, SUBJECTS, 0)
+    some = lambda label, c, end="": let(c, lambda v: F.when(v != "", F.concat(F.lit(label), v, F.lit(end))))
     return F.concat_ws(
         " ",
         F.concat(F.lit("Mathematical "), kind, F.lit(" equation.")),
-        F.when(shown != "", F.concat(F.lit("Expression: "), F.substring(shown, 1, EXPRESSION))),
-        F.when(subject != "", F.concat(F.lit("Related to: "), subject, F.lit("."))),
+        some("Expression: ", F.substring(shown, 1, EXPRESSION)),
+        some("Related to: ", F.regexp_extract(text, SUBJECTS, 0), "."),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ EXTENSIONS = {"pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "do
 TABLE_ROWS = 20
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once and named, where an expression uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """``text`` without white space at its ends (of any kind, not only blanks)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

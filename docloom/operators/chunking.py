@@ -37,7 +37,7 @@ def window_ranges(sentences: Column, max_chars: int = MAX_CHARS, overlap: int =
         state = lambda a, size, out: F.struct((i + 1).alias("i"), a.cast("int").alias("start"), size.cast("int").alias("size"), out.alias("out"))
         alone = state(i + 1, F.lit(0), F.concat(flushed, span(i, i + 1)))
         bare = state(i, n, flushed)
-        again = F.transform(F.array(kept), lambda k: F.when(k["size"] + n <= max_chars, state(i - k["n"], k["size"] + n, flushed)).otherwise(bare))[0]
+        again = tx.let(kept, lambda k: F.when(k["size"] + n <= max_chars, state(i - k["n"], k["size"] + n, flushed)).otherwise(bare))
         return F.when(fits, state(acc["start"], acc["size"] + n, acc["out"])).when(n > max_chars, alone).otherwise(again)
 
     return F.aggregate(lengths, start, step, lambda acc: F.when(acc["start"] < acc["i"], F.concat(
@@ -46,8 +46,8 @@ def window_ranges(sentences: Column, max_chars: int = MAX_CHARS, overlap: int =
 
 def window_texts(text: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
     """Texts of a body: itself if it fits, else windows of its sentences joined by blanks."""
-    parts = tx.sentences(text)
-    cut = F.transform(window_ranges(parts, max_chars, overlap), lambda r: F.array_join(F.slice(parts, r["start"] + 1, r["end"] - r["start"]), " "))
+    cut = tx.let(tx.sentences(text), lambda parts: F.transform(
+        window_ranges(parts, max_chars, overlap), lambda r: F.array_join(F.slice(parts, r["start"] + 1, r["end"] - r["start"]), " ")))
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(cut)
 
 

@@ -22,26 +22,26 @@ def image_chunks(images: DataFrame, charts: bool = True, equations: bool = True)
     """Chunks of classified images (document_id, page, image_number, image_path, chunk_type, description,
     ocr_text, width, height, source_file), with chart or equation data read from their text."""
     text = F.coalesce("ocr_text", F.lit(""))
-    axes = dx.chart_axes(text)
-    kind = F.lit("unknown")
     none = F.expr("cast(array() as array<string>)")
-    chart = F.struct(kind.alias("chart_type"), axes["title"].alias("title"), axes["x_axis"].alias("x_axis"), axes["y_axis"].alias("y_axis"),
-                     none.alias("legend"), F.expr("cast(array() as array<map<string,string>>)").alias("values"),
-                     dx.chart_description(kind, axes["title"], axes["x_axis"], axes["y_axis"], none, F.lit(0)).alias("description"))
-    eq_type = dx.equation_type(text, F.col("width"), F.col("height"))
-    equation = F.struct(text.alias("raw_ocr_text"), dx.latex(text).alias("latex"), eq_type.alias("equation_type"),
-                        dx.equation_description(text, dx.latex(text), eq_type).alias("description"))
-    read = dx.ocr_table(text)
-    table = F.struct(read["columns"].alias("columns"), read["rows"].alias("rows"),
-                     dx.table_description(read["columns"], F.size(read["rows"])).alias("description"), F.lit("ocr").alias("extraction_method"))
     is_kind = lambda k, on: (F.col("chunk_type") == k) & F.lit(on)
-    made = images.withColumns({
+    eq_type = dx.equation_type(text, F.col("width"), F.col("height"))
+    chart = tx.let(dx.chart_axes(text), lambda axes: F.struct(
+        F.lit("unknown").alias("chart_type"), axes["title"].alias("title"), axes["x_axis"].alias("x_axis"), axes["y_axis"].alias("y_axis"),
+        none.alias("legend"), F.expr("cast(array() as array<map<string,string>>)").alias("values"),
+        dx.chart_description(F.lit("unknown"), axes["title"], axes["x_axis"], axes["y_axis"], none, F.lit(0)).alias("description")))
+    equation = tx.let(dx.latex(text), lambda latex: F.struct(
+        text.alias("raw_ocr_text"), latex.alias("latex"), eq_type.alias("equation_type"),
+        dx.equation_description(text, latex, eq_type).alias("description")))
+    table = tx.let(dx.ocr_table(text), lambda read: F.struct(
+        read["columns"].alias("columns"), read["rows"].alias("rows"),
+        dx.table_description(read["columns"], F.size(read["rows"])).alias("description"), F.lit("ocr").alias("extraction_method")))
+    return images.withColumns({
         "caption": tx.visual_caption(F.col("chunk_type"), F.col("page")),
         "chart_data": F.when(is_kind("chart", charts), chart).cast(CHART_DATA),
         "equation_data": F.when(is_kind("equation", equations), equation).cast(EQUATION_DATA),
         "table_data": F.when(is_kind("table", True), table).cast(TABLE_DATA),
+        "chunk_id": F.concat_ws("_", F.lit("img"), "document_id", F.col("page").cast("string"), F.col("image_number").cast("string")),
     })
-    return made.withColumn("chunk_id", F.concat_ws("_", F.lit("img"), "document_id", F.col("page").cast("string"), F.col("image_number").cast("string")))
 
 
 def table_chunks(tables: DataFrame, extracted: DataFrame | None = None) -> DataFrame:

@@ -24,8 +24,9 @@ def bucket_of(document_id, buckets: int):
 
 def upserted(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """``target`` with the rows of ``source`` in place of those with the same key; of several source rows
-    with one key the last by all columns stays."""
-    once = source.groupBy(*key).agg(F.max(F.struct(*[c for c in source.columns if c not in key])).alias("s")).select(*key, "s.*")
+    with one key the last by their JSON form stays (maps have no order of their own)."""
+    rest = F.struct(*[c for c in source.columns if c not in key])
+    once = source.groupBy(*key).agg(F.max_by(rest, F.to_json(rest)).alias("s")).select(*key, "s.*")
     return target.join(source.select(*key), key, "left_anti").unionByName(once.select(*target.columns))
 
 

@@ -56,6 +56,8 @@ def read_documents(spark: SparkSession, path: str, document_ids: list[str] | Non
     """Parsed documents from JSON files with defaults filled in; unreadable ones carry ``corrupt``."""
     rows = spark.read.schema(f"{DOCUMENT}, corrupt string").option("multiLine", "true").option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", "true").json(path)
+    # tied to another column, so that the corrupt one is never all that a query reads
+    rows = rows.withColumn("corrupt", F.when(F.col("document_id").isNull(), F.col("corrupt")))
     rows = rows if document_ids is None else rows.filter(F.col("document_id").isin(document_ids))
     return with_defaults(rows)
 
