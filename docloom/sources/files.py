@@ -25,7 +25,8 @@ def uploads(files: DataFrame) -> DataFrame:
 
 
 def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """All files below ``path``; contents are read for columns that need them only."""
+    """All files below ``path`` but empty ones, which the reader passes over; contents are read for
+    columns that need them only."""
     return uploads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
