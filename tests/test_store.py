@@ -111,31 +111,36 @@ def test_stream_runs_again_without_duplicates(spark, tmp_path, kept):
     assert {tuple(r) for r in kept.read().collect()} == {("d1", "a", "x"), ("d2", "b", "y"), ("d3", "c", "z")}
 
 
-class Failing:
-    dimension = 4
+def failing():
+    """A model that fails, made in a function so that it travels by value."""
 
-    def embed(self, images):
-        raise RuntimeError
+    class Failing:
+        dimension = 4
 
-    def describe(self, image, prompt):
-        raise RuntimeError
+        def embed(self, images):
+            raise RuntimeError
 
-    def read(self, image):
-        return [("low", 0.2, [[0.0, 1.0]]), (" top ", 0.9, [[0.0, 0.0]])]
+        def describe(self, image, prompt):
+            raise RuntimeError
 
-    def items(self, content):
-        if content == b"bad":
-            raise ValueError("encrypted")
-        yield "title", "T", 1, None
+        def read(self, image):
+            return [("low", 0.2, [[0.0, 1.0]]), (" top ", 0.9, [[0.0, 0.0]])]
+
+        def items(self, content):
+            if content == b"bad":
+                raise ValueError("encrypted")
+            yield "title", "T", 1, None
+
+    return Failing()
 
 
 def test_models_fall_back(spark):
     from docloom.operators import assembly
 
     one = spark.createDataFrame([(bytearray(b"x"), "figure")], "image binary, kind string")
-    row = one.select(models.embed_images(Failing())(F.col("image")).alias("v"), models.caption_images(Failing())(F.col("image"), F.col("kind")).alias("c"),
-                     assembly.ocr_text(models.recognise_text(Failing())(F.col("image"))).alias("t")).first()
+    row = one.select(models.embed_images(failing())(F.col("image")).alias("v"), models.caption_images(failing())(F.col("image"), F.col("kind")).alias("c"),
+                     assembly.ocr_text(models.recognise_text(failing())(F.col("image"))).alias("t")).first()
     assert row.v == [0.0] * 4 and row.c is None and row.t == "top"
     read = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "document_id string, content binary")
-    got = {r.document_id: (r.text, r.error) for r in models.parse_files(read, Failing()).collect()}
+    got = {r.document_id: (r.text, r.error) for r in models.parse_files(read, failing()).collect()}
     assert got == {"a": ("T", None), "b": (None, "ValueError: encrypted")}
