@@ -11,10 +11,11 @@ from docloom import models
 from docloom.functions import describe as dx
 from docloom.functions import ids
 from docloom.functions import text as tx
-from docloom.operators import chunking, multimodal, search
-from docloom.operators.store import Collection, payload_json
+from docloom.operators import assembly, chunking, multimodal, search
+from docloom.operators.store import Collection, export_documents, payload_json
 from docloom.requests import MultimodalRequest, SearchRequest
-from docloom.schemas import CHUNK, MM_CHUNK, parsed
+from docloom.schemas import CHUNK, DOCUMENT, MM_CHUNK, parsed, with_defaults
+from docloom.sources import files
 
 TEXT_POINT = f"{CHUNK}, point_id string, text_vector array<float>, payload string"
 MM_POINT = f"{MM_CHUNK}, point_id string, embedding_text string, text array<float>, visual array<float>"
@@ -30,6 +31,23 @@ class Engine:
         self.texts = Collection(spark, f"{root}/text_points", parsed(TEXT_POINT))
         self.visuals = Collection(spark, f"{root}/multimodal_points", parsed(MM_POINT))
 
+    def ingest(self, path: str, parser, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(documents, rejected files) of the uploads below ``path``.
+
+        ``parser.items(bytes)`` yields (label, text, page, grid) for a PDF; types without a parser give empty
+        documents with a note. With ``out``, documents are also exported there as JSON.
+        """
+        found = files.scan_uploads(self.spark, path)
+        good = files.accepted(found)
+        items = models.parse_files(files.route(good, "pdf"), parser)
+        parsed_ones = assembly.documents(files.route(good, "pdf"), items)
+        made = parsed_ones.unionByName(files.placeholders(good).drop("sections"), allowMissingColumns=True)
+        fields = {f.name: F.lit(None).cast(f.dataType) for f in parsed(DOCUMENT).fields}
+        made = with_defaults(made.withColumns({k: v for k, v in fields.items() if k not in made.columns}).select(*fields))
+        if out is not None:
+            export_documents(made, out)
+        return made, found.filter(F.col("rejected").isNotNull()).select("path", "rejected")
+
     def text_points(self, documents: DataFrame) -> DataFrame:
         """Points of parsed documents' chunks."""
         chunks = chunking.chunk_documents(documents)

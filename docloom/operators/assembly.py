@@ -129,3 +129,34 @@ def image_boxes(images: DataFrame, info: DataFrame) -> DataFrame:
     """Images (document_id, page, xref) with the first box of page info (…, seq, box) for the same xref."""
     first = info.filter(F.col("box").isNotNull()).groupBy("document_id", "page", "xref").agg(F.min_by("box", "seq").alias("bounding_box"))
     return images.join(first, ["document_id", "page", "xref"], "left")
+
+
+def documents(files: DataFrame, items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Parsed documents of ``files`` (document_id, filename) from their layout items, nested as one row each.
+
+    ``items`` are (document_id, seq, label, text, page, grid, error). A document without sections takes those
+    of its ``pages`` (document_id, page, text), if given, and its title from the first of them. Errors of
+    items go into parse_errors.
+    """
+    read = items.filter(F.col("error").isNull())
+    found = sections(read)
+    if pages is not None:
+        plain = pages.join(found.select("document_id").distinct(), "document_id", "left_anti")
+        found = found.unionByName(page_sections(plain).withColumn("section", F.col("page").cast("long")))
+
+    def nested(rows: DataFrame, order: str, fields: list[str], name: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("v"))))
+        return rows.groupBy("document_id").agg(F.transform(parts, lambda p: p["v"]).alias(name))
+
+    first = F.min_by("text", "section")
+    errors = items.filter(F.col("error").isNotNull()).groupBy("document_id").agg(F.sort_array(F.collect_list("error")).alias("parse_errors"))
+    body = found.withColumns({"page": F.col("page").cast("int"), "level": F.col("level").cast("int")})
+    named = title(read).withColumnRenamed("title", "named")
+    out = files.select("document_id", "filename")
+    for part in (nested(body, "section", ["page", "heading", "text", "level"], "sections"),
+                 nested(tables(read), "table_number", ["page", "table_number", "headers", "rows", "raw_text"], "tables"),
+                 named, found.filter("heading = ''").groupBy("document_id").agg(F.substring(first, 1, TITLE_CHARS).alias("opening")), errors):
+        out = out.join(part, "document_id", "left")
+    chosen = F.when(F.coalesce("named", F.lit("")) != "", F.col("named"))
+    chosen = F.coalesce(chosen, F.when(F.col("named").isNull(), F.col("opening")), F.lit(""))
+    return out.select("document_id", "filename", chosen.alias("title"), "sections", "tables", "parse_errors")

@@ -144,3 +144,41 @@ def test_models_fall_back(spark):
     read = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "document_id string, content binary")
     got = {r.document_id: (r.text, r.error) for r in models.parse_files(read, failing()).collect()}
     assert got == {"a": ("T", None), "b": (None, "ValueError: encrypted")}
+
+
+def test_ingest_parses_assembles_and_exports(spark, tmp_path):
+    class Lines:
+        """Every line is an item; those with a hash are headers."""
+
+        def items(self, content):
+            if content.startswith(b"bad"):
+                raise ValueError("encrypted")
+            for line in content.decode().split("\n"):
+                header = line.startswith("#")
+                yield ("title" if header else "text"), line.lstrip("# "), 1, None
+            yield "table", "raw", 2, [["Model", "BLEU"], ["a", "1"]]
+
+    up = tmp_path / "up"
+    up.mkdir()
+    for name, body in (("a.pdf", "# Paper\nFirst.\nSecond.\n# Methods\nThird."), ("b.pdf", "bad"), ("c.docx", "x"), ("d.txt", "x")):
+        (up / name).write_text(body)
+    engine = Engine(spark, str(tmp_path / "store"), models.HashEmbedder(16))
+    made, rejected = engine.ingest(str(up), Lines(), str(tmp_path / "json"))
+    got = {r.filename: r for r in made.collect()}
+    assert [(s.heading, s.text) for s in got["a.pdf"].sections] == [("Paper", "First.\nSecond."), ("Methods", "Third.")]
+    assert got["a.pdf"].title == "Paper" and got["a.pdf"].tables[0].headers == ["Model", "BLEU"]
+    assert got["b.pdf"].parse_errors == ["ValueError: encrypted"] and got["b.pdf"].sections == []
+    assert got["c.docx"].parse_errors[0].startswith("DOCX") and [r.rejected for r in rejected.collect()] == ["unsupported file type"]
+    again = {r.filename: r for r in files.read_documents(spark, str(tmp_path / "json")).collect()}
+    assert again["a.pdf"].sections == got["a.pdf"].sections
+    assert engine.index_text(made.filter("filename = 'a.pdf'"))["chunks"] == 6
+
+
+def test_documents_fall_back_to_pages(spark):
+    from docloom.operators import assembly
+
+    listed = spark.createDataFrame([("d", "f")], "document_id string, filename string")
+    items = spark.createDataFrame([], "document_id string, seq int, label string, text string, page int, grid array<array<string>>, error string")
+    pages = spark.createDataFrame([("d", 1, " "), ("d", 2, " Two "), ("d", 3, "Three")], "document_id string, page int, text string")
+    row = assembly.documents(listed, items, pages).first()
+    assert row.title == "Two" and [(s.page, s.text) for s in row.sections] == [(2, "Two"), (3, "Three")]
