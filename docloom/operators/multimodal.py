@@ -77,3 +77,9 @@ def element_counts(images: DataFrame, tables: DataFrame, by: str = "document_id"
     held = tables.groupBy(by).agg(F.count("*").alias("tables"))
     both = seen.join(held, by, "full_outer")
     return both.select(by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("charts", "equations", "figures", "tables")])
+
+
+def linked_captions(chunks: DataFrame, elements: DataFrame) -> DataFrame:
+    """Caption chunks of a text collection beside the visual elements that they refer to by image path."""
+    return chunks.filter(F.col("multimodal_ref").isNotNull()).select("chunk_id", "multimodal_ref").join(
+        elements.select(F.col("image_path").alias("multimodal_ref"), F.col("chunk_id").alias("element_id")), "multimodal_ref")
