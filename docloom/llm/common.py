@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Bound the rows of the session's Arrow batches; a lower bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions_for(spark: SparkSession, total_bytes: float, target: int) -> int:
     """Shuffle partitions for ``total_bytes`` at ``target`` bytes each, the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // target) + 1)
@@ -75,7 +82,7 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     key = str(base)
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + (n >> 3))
         with np.errstate(over="ignore"):
             have = np.full(size, base, np.uint64)
             have[0] = 1

@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hash, partitions_for, prefix_hash, text_blocks
+from docloom.llm.common import gram_hash, partitions_for, prefix_hash, small_batches, text_blocks
 
 SIZE, K = 50, 20
 REACH = SIZE - K
 WIDTH = SIZE + REACH
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows of an Arrow batch at most, so that batches of long texts stay small.
+BATCH_ROWS = 1000
 #: Text bytes for which one hash range, and one bucket of runs, is made.
-RANGE_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
+RANGE_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
 LOW = (1 << 40) - 1
 
 
@@ -128,7 +131,7 @@ def grouped_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
 
 
 def repeated_anchors(runs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, codes): anchors of each document that other documents have too, as packed longs."""
+    """(doc_id, code): anchors of each document that other documents have too, a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, rows in grouped_rows(batches):
@@ -150,16 +153,12 @@ def repeated_anchors(runs: DataFrame, parts: int) -> DataFrame:
             twice[:-1] |= same
             docs = np.concatenate([docs[twice], *hit_docs])
             codes = np.concatenate([codes[twice] | (r << 40), *hit_codes])
-            order = np.argsort(docs, kind="stable")
-            docs, codes = docs[order], codes[order]
-            ids, start = np.unique(docs, return_index=True)
-            cuts = np.append(start, len(docs))
-            body = codes.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(body)])],
-                ["doc_id", "codes"])
+            order = np.lexsort((codes, docs))
+            for lo in range(0, len(order), 1 << 16):
+                part = order[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[part], pa.int64()), pa.array(codes[part], pa.int64())], ["doc_id", "code"])
 
-    return runs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "doc_id long, codes binary")
+    return runs.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(run, "doc_id long, code long")
 
 
 def contexts(body: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,18 +274,44 @@ def merge(runs: list[tuple[list[bytes], bytes]]) -> tuple[list[int], list[int]]:
     return order, prefixes
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) with the texts as zstd frames, for the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = pa.array([pack(t.as_buffer()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "mark", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, mark long, text binary")
+
+
+def text_chunks(packed: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, bytes, offsets) of runs of compressed texts of about CHUNK bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    first, held, size = 0, [], 0
+    for i, text in enumerate(packed):
+        held.append(unpack(text.as_buffer()))
+        size += len(held[-1])
+        if size >= CHUNK or i == len(packed) - 1:
+            yield first, i + 1, np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in held])])
+            first, held, size = i + 1, [], 0
+
+
 def suffix_runs(rows: DataFrame, ranges: int, buckets: int) -> DataFrame:
     """Step 2's runs, by bucket; ``rows`` are (doc_id, mark, text, codes) with the repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "prefix", "rest", "sides", "doc", "mark", "at", "spans"]
+        names = ["bucket", "prefix", "rest", "sides", "who", "docs", "at", "spans"]
         types = [pa.int64()] + [pa.binary()] * 7
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, end, body, offsets in text_blocks(batch.column(2), CHUNK):
+            listed, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+            for first, end, body, offsets in text_chunks(batch.column(2)):
                 at, hashes, owner = anchors(body, offsets)
                 codes = range_codes(hashes, ranges)
-                wanted = [np.frombuffer(b"".join(c.as_py()), np.int64) for c in batch.column(3).slice(first, end - first)]
+                wanted = [listed[ends[i] : ends[i + 1]] for i in range(first, end)]
                 cuts = np.searchsorted(owner, np.arange(end - first + 1))
                 chosen = np.concatenate([np.isin(codes[cuts[i] : cuts[i + 1]], w) for i, w in enumerate(wanted)]) if len(codes) else np.zeros(0, bool)
                 at, codes, owner = at[chosen], codes[chosen], owner[chosen]
@@ -295,8 +320,8 @@ def suffix_runs(rows: DataFrame, ranges: int, buckets: int) -> DataFrame:
                 doc, mark = ids[first:end][owner], marks[first:end][owner]
                 start = offsets[owner]
                 pieces = []
-                for lo in range(0, len(at), 1 << 18):  # bounded matrices
-                    part = slice(lo, lo + (1 << 18))
+                for lo in range(0, len(at), 1 << 16):  # bounded matrices
+                    part = slice(lo, lo + (1 << 16))
                     strings, left, right = contexts(body, at[part], start[part], offsets[owner[part] + 1])
                     keep = left + right >= SIZE
                     pieces.append((strings[keep], left[keep], right[keep], np.flatnonzero(keep) + lo))
@@ -317,7 +342,7 @@ def suffix_runs(rows: DataFrame, ranges: int, buckets: int) -> DataFrame:
                 settled = join_spans(settled)
                 go = ~done
                 strings, left, right, where = strings[go], left[go], right[go], where[go]
-                doc, mark, bucket = doc[go], mark[go], codes[go] % buckets
+                row, bucket = owner[row[go]], codes[go] % buckets
                 by = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 spans = np.searchsorted(settled[:, 0], np.arange(buckets + 1))
@@ -326,11 +351,13 @@ def suffix_runs(rows: DataFrame, ranges: int, buckets: int) -> DataFrame:
                     mine = by[bounds[b] : bounds[b + 1]]
                     prefix, rest = front_code(strings[mine])
                     sides = np.stack([left[mine], right[mine]], axis=1).astype(np.uint8).tobytes()
-                    out.append((b, prefix, rest, sides, doc[mine].tobytes(), mark[mine].tobytes(), where[mine].tobytes(),
+                    own, who = np.unique(row[mine], return_inverse=True)
+                    docs = np.stack([ids[first:end][own], marks[first:end][own]], axis=1).tobytes()
+                    out.append((b, prefix, pack(rest), sides, who.astype("<u4").tobytes(), docs, where[mine].astype("<u4").tobytes(),
                                 np.ascontiguousarray(settled[spans[b] : spans[b + 1], 1:]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return rows.mapInArrow(run, "bucket long, prefix binary, rest binary, sides binary, doc binary, mark binary, at binary, spans binary")
+    return rows.mapInArrow(run, "bucket long, prefix binary, rest binary, sides binary, who binary, docs binary, at binary, spans binary")
 
 
 def join_spans(spans: np.ndarray) -> np.ndarray:
@@ -385,50 +412,51 @@ def removed_spans(strings: np.ndarray, prefixes: np.ndarray, left: np.ndarray, r
 
 
 def merged_spans(runs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, spans): removed spans as packed longs (mark, start, end)."""
+    """(doc_id, mark, span): removed spans, a row for each, packed as start << 32 | end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for _, rows in grouped_rows(batches):
             settled = [np.frombuffer(r[6], np.int64).reshape(-1, 4) for r in rows]
             rows = [r for r in rows if r[0]]
             if rows:
-                decoded = [(front_decode(r[0], r[1]), r[0]) for r in rows]
+                decoded = [(front_decode(r[0], unpack(r[1])), r[0]) for r in rows]
                 order, prefixes = merge(decoded)
                 order = np.array(order, np.int64)
                 # entries of a run keep their order, so the merge is a stable sort of run numbers undone
                 back = np.argsort(np.argsort(order, kind="stable"), kind="stable")
-                columns = [np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((2, np.uint8), (3, np.int64), (4, np.int64), (5, np.int64))]
-                sides = columns[0].reshape(-1, 2).astype(np.int64)[back]
-                doc, mark, at = (c[back] for c in columns[1:])
+                sides = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows]).reshape(-1, 2).astype(np.int64)[back]
+                owners = np.concatenate([np.frombuffer(r[4], np.int64).reshape(-1, 2)[np.frombuffer(r[3], "<u4")] for r in rows])[back]
+                at = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows]).astype(np.int64)[back]
+                doc, mark = owners[:, 0], owners[:, 1]
                 strings = np.frombuffer(b"".join(s for d in decoded for s in d[0]), np.uint8).reshape(-1, WIDTH)[back]
                 entry, before, after = removed_spans(strings, np.array(prefixes), sides[:, 0], sides[:, 1], doc)
                 settled.append(np.stack([doc[entry], mark[entry], at[entry] - before, at[entry] + after], axis=1))
             spans = join_spans(np.concatenate(settled))
-            if len(spans):
-                ids, start = np.unique(spans[:, 0], return_index=True)
-                cuts = np.append(start, len(spans))
-                body = np.ascontiguousarray(spans[:, 1:]).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((24 * cuts).astype(np.int32)), pa.py_buffer(body)])],
-                    ["doc_id", "spans"])
+            for lo in range(0, len(spans), 1 << 16):
+                part = spans[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (part[:, 0], part[:, 1], part[:, 2] << 32 | part[:, 3])],
+                                                 ["doc_id", "mark", "span"])
 
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, spans binary")
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, mark long, span long")
 
 
 def find_repeats(docs: DataFrame, range_bytes: int = RANGE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, mark, text as bytes), spans (doc_id, spans: list of packed (mark, start, end)))."""
+    """(documents with a doc_id (doc_id, mark, text as zstd frames), spans (doc_id, spans: list of mark and packed span))."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    small_batches(spark, BATCH_ROWS)
+    rows = docs.filter("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     ranges, buckets = int(total // range_bytes) + 1, int(total // bucket_bytes) + 1
-    runs = anchor_runs(rows.filter("doc_id is not null").select("doc_id", "text"), ranges)
+    runs = anchor_runs(rows, ranges)
     hits = repeated_anchors(runs, partitions_for(spark, total, range_bytes))
-    hits = hits.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    # the filter stands above the exchange's Python step, where the optimizer would put it for the inner join alone
+    rows = compressed(rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")).filter("doc_id is not null")
     found = suffix_runs(rows.join(hits, "doc_id").select("doc_id", "mark", "text", "codes"), ranges, buckets)
     spans = merged_spans(found, partitions_for(spark, total, bucket_bytes))
-    return rows, spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    return rows, spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "span")).alias("spans"))
 
 
 def cleaned(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -438,12 +466,15 @@ def cleaned(docs: DataFrame, **sizes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "kept", "n_removed", "n_spans"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, mark, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                body = text.as_py()
-                found = np.frombuffer(b"".join(packed.as_py() or []), np.int64).reshape(-1, 3)
-                found = join_spans(found[found[:, 0] == mark])
+            listed = batch.column(3).values
+            marks, spans, ends = listed.field("mark").to_numpy(), listed.field("span").to_numpy(), batch.column(3).offsets.to_numpy()
+            for i, (doc, mark, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                body = unpack(text.as_buffer())
+                own = spans[ends[i] : ends[i + 1]][marks[ends[i] : ends[i + 1]] == mark]
+                found = join_spans(np.stack([np.zeros_like(own), own >> 32, own & 0xFFFFFFFF], axis=1))
                 kept, at = [], 0
                 for _, start, end in found.tolist():
                     kept.append(body[at:start])
@@ -454,10 +485,32 @@ def cleaned(docs: DataFrame, **sizes: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
+    # the same rows as in the join before, so that both read one exchange of the texts
     joined = rows.join(spans, "doc_id", "left").select("doc_id", "mark", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
+    made = joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    others = docs.filter("doc_id is null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("kept"),
+        F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    return made.unionByName(others)
 
 
 def digest(kept: DataFrame) -> DataFrame:
     """``cleaned`` with the kept bytes' SHA-256 in their place."""
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for ``digest`` over ``documents``, by all windows as hexadecimal digits.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d)),
+ f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+ r AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE m < w.doc_id),
+ g AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n
+   FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+ spans AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+ pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+ kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+   string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || any_value(substr(h, 2 * e + 1)) AS k
+   FROM pieces JOIN d USING (doc_id) JOIN (SELECT doc_id, max(b) AS e FROM spans GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
