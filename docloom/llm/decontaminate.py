@@ -144,7 +144,8 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def search(hashes: np.ndarray, hits: np.ndarray, grams: np.ndarray, bench: Benchmark, least: float
            ) -> Iterator[tuple[int, float, int, int, int]]:
-    """(item_id, similarity, distance, start, words) of the best window of each item in one document.
+    """(item_id, similarity, distance, start, words) of the best window of each item in one document, the first
+    of equally good ones.
 
     ``grams`` are the document's shingles and ``hits`` which of them the benchmark has.
     """
@@ -154,7 +155,7 @@ def search(hashes: np.ndarray, hits: np.ndarray, grams: np.ndarray, bench: Bench
         own = gram_hash(prefix_hash(hashes), length) if len(hashes) >= length else np.zeros(0, np.uint64)
         at = np.flatnonzero(own == np.uint64(next(iter(bench.counts[i]))))
         if len(at):
-            best[bench.ids[i]] = (1.0, 0, -int(at[0]), length)
+            best[bench.ids[i]] = (1.0, -int(at[0]), 0, length)
     at = np.flatnonzero(hits)
     gram = np.searchsorted(bench.grams, grams[at])
     first, n = bench.lengths_at[gram], np.diff(bench.lengths_at)[gram]
@@ -179,9 +180,9 @@ def search(hashes: np.ndarray, hits: np.ndarray, grams: np.ndarray, bench: Bench
             for i, distance in near:
                 alike = similarity(own, bench.counts[i])
                 if alike >= least:
-                    got = (alike, -distance, -s, min(length, len(hashes)))
+                    got = (alike, -s, -distance, min(length, len(hashes)))
                     best[bench.ids[i]] = max(best.get(bench.ids[i], got), got)
-    for item, (alike, distance, start, n) in best.items():
+    for item, (alike, start, distance, n) in best.items():
         yield item, alike, -distance, -start, n
 
 
@@ -254,3 +255,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: floa
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+#: DuckDB SQL for the best windows of ``benchmark`` items of five words or more in ``documents``, by trying all.
+ORACLE_SQL = r"""WITH words AS (SELECT DISTINCT item_id AS k, text, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+ items AS (SELECT k, len(w) AS l, len(w) - 4 AS m, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM words WHERE len(w) >= 5),
+ ig AS (SELECT k, l, m, g, count(*) AS c FROM (SELECT k, l, m, unnest(g) AS g FROM items) GROUP BY ALL),
+ docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+ dg AS (SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM docs WHERE len(w) >= 5)),
+ hits AS (SELECT doc_id, n, p, k, l, m, c, g FROM dg JOIN ig USING (g)),
+ wins AS (SELECT *, unnest(range(greatest(0, p - m + 1), least(p, greatest(n - 4 - m, 0)) + 1)) AS s FROM hits),
+ sums AS (SELECT doc_id, k, n, l, m, s, sum(x) AS x FROM (SELECT doc_id, k, n, l, m, s, g, least(count(*), c) AS x FROM wins
+   GROUP BY doc_id, k, n, l, m, s, g, c) GROUP BY ALL),
+ found AS (SELECT *, x / (least(m, n - 4) + m - x) AS similarity FROM sums)
+SELECT doc_id, k AS item_id, similarity, s AS start_word, least(l, n) AS n_words FROM found WHERE similarity >= 0.8
+ QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY similarity DESC, s) = 1"""

@@ -20,6 +20,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_secrets"] = op6_secrets
+ORACLES["op6_secrets"] = secrets.oracle_sql()
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,12 @@ QUERIES["op9_language"] = op9_language
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hamming")
 
 
 QUERIES["op5_decontaminate"] = op5_decontaminate
+ORACLES["op5_decontaminate"] = decontaminate.ORACLE_SQL
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +96,7 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_suffixes"] = op2_suffixes
+ORACLES["op2_suffixes"] = suffixes.ORACLE_SQL
 
 
 def op7_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

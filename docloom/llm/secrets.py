@@ -51,8 +51,8 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     parts = F.array(*[F.lit(p) for p in PARTS])
 
     def part(i: int) -> Column:
-        at = F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(len(PARTS))) + 1
-        word = F.element_at(parts, at.cast("int"))
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(i)))), 1, 7), 16, 10).cast("long")
+        word = F.element_at(parts, (drawn % len(PARTS) + 1).cast("int"))
         style = F.col("id") % 4
         return F.when(style == 1, F.initcap(word)).when(style == 2, F.upper(word)).otherwise(word)
 
@@ -196,3 +196,49 @@ def redact(docs: DataFrame, weights: list[int], mask: str = "[secret]") -> DataF
         acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     df = df.withColumn("text", F.when(F.size("all_spans") > 0, masked).otherwise(F.col("text")))
     return df.select(*kept)
+
+
+def oracle_sql(samples: int = 4000) -> str:
+    """DuckDB SQL for ``scan`` over ``documents``, trained on the built-in sample."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    k = len(CLASSES)
+
+    def classes(x: str) -> str:
+        plain = f"regexp_replace(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9]', '~', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', 'B', 'g')"
+        return f"list_transform(string_split(replace({plain}, '~', 'C'), ''), lambda c: instr('{CLASSES}', c) - 1)"
+
+    def part(i: int) -> str:
+        return f"CAST('0x' || substr(md5(id || '-{i}'), 1, 7) AS BIGINT) % {len(PARTS)} + 1"
+
+    words = [f"CASE id % 4 WHEN 1 THEN upper(w{i}[1]) || w{i}[2:] WHEN 2 THEN upper(w{i}) ELSE w{i} END" for i in range(1, 5)]
+    joint = "CASE id % 4 WHEN 0 THEN '_' WHEN 3 THEN ['-', '/', ''][id % 3 + 1] WHEN 2 THEN '_' ELSE '' END"
+    length = "list_transform({}, lambda x: length(x))"
+
+    def spans(pattern: str, kind: str, rank: int) -> str:
+        """All matches' spans as a list of structs, with the match."""
+        return (f"(SELECT doc_id, t, list_transform(range(1, len(m) + 1), lambda i: {{'start': CAST(list_sum({length.format('p[1:i]')}) "
+                f"+ coalesce(list_sum({length.format('m[1:i - 1]')}), 0) AS BIGINT), 'rank': {rank}, 'kind': '{kind}', "
+                f"'end': CAST(list_sum({length.format('p[1:i]')}) + list_sum({length.format('m[1:i]')}) AS BIGINT), 'found': m[i], 'given': g[i]}}) AS s "
+                f"FROM (SELECT doc_id, t, regexp_extract_all(t, {quoted(pattern)}, 0) AS m, "
+                f"{'regexp_extract_all(t, ' + quoted(pattern) + ', 2)' if kind == 'assign' else '[]::VARCHAR[]'} AS g, "
+                f"string_split_regex(t, {quoted(pattern)}) AS p FROM docs))")
+
+    bare = "list_transform({}, lambda x: {{'start': x['start'], 'rank': x['rank'], 'kind': x['kind'], 'end': x['end']}})"
+    texts = "array_to_string(list_transform({}, lambda x: x['kind'] || ':' || x['start'] || ':' || x['end']), ',')"
+    return f"""WITH ids AS (SELECT id, {', '.join(f"[{', '.join(quoted(p) for p in PARTS)}][{part(i)}] AS w{i}" for i in range(1, 5))} FROM range({samples}) t(id)),
+ samples AS (SELECT CASE WHEN id % 3 = 0 THEN sha256('sample-' || id) ELSE replace(base64(unhex(sha256('sample-' || id))), '=', '') END AS x, true AS random FROM ids
+   UNION ALL SELECT {(' || ' + joint + ' || ').join(words)} || CASE WHEN id % 10 = 0 THEN CAST(id % 100 AS VARCHAR) ELSE '' END, false FROM ids),
+ pairs AS (SELECT random, unnest(list_transform(range(1, len(c)), lambda i: c[i] * {k} + c[i + 1])) AS t FROM (SELECT random, {classes('x')} AS c FROM samples)),
+ grid AS (SELECT g.t, g.t // {k} AS a, 1 + count(*) FILTER (WHERE random) AS r, 1 + count(*) FILTER (WHERE NOT random) AS o
+   FROM range({k * k}) g(t) LEFT JOIN pairs p ON p.t = g.t GROUP BY ALL),
+ weights AS (SELECT list(w ORDER BY t) AS w FROM (SELECT t, CAST(round(1000 * (ln(r / sum(r) OVER (PARTITION BY a)) - ln(o / sum(o) OVER (PARTITION BY a)))) AS BIGINT) AS w FROM grid)),
+ docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ named AS (SELECT doc_id, list_filter(s, lambda x: length(x['given']) >= {MIN_ASSIGNED}) AS s FROM {spans(ASSIGN, 'assign', 0)}),
+ keys AS {spans(ACCESS, 'access', 1)}, hexes AS {spans(HEX, 'hex', 2)},
+ tokens AS (SELECT doc_id, list_filter(s, lambda x: list_sum(list_transform(range(1, length(x['found'])),
+   lambda i: w[{classes("x['found']")}[i] * {k} + {classes("x['found']")}[i + 1] + 1])) >= {THRESHOLD} * (length(x['found']) - 1)) AS s FROM {spans(TOKEN, 'random', 3)}, weights),
+ base AS (SELECT doc_id, len(a.s) AS n_assign, len(b.s) AS n_access, len(c.s) AS n_hex,
+   list_sort({bare.format('a.s')} || {bare.format('b.s')} || {bare.format('c.s')}) AS s FROM named a JOIN keys b USING (doc_id) JOIN hexes c USING (doc_id))
+ SELECT doc_id, n_assign, n_access, n_hex, sha256({texts.format('s')}) AS base_sha256, {texts.format('list_sort(s || more)')} AS spans
+ FROM (SELECT base.*, {bare.format("list_filter(tokens.s, lambda x: len(list_filter(base.s, lambda y: y['start'] < x['end'] AND x['start'] < y['end'])) = 0)")} AS more
+   FROM base JOIN tokens USING (doc_id))"""
