@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, gram_hash, mix, prefix_hash, range_hash, text_blocks, word_bounds
+from docloom.llm.common import cut, gram_hash, mix, prefix_hash, range_hash, small_batches, text_blocks, word_bounds
 from docloom.llm.components import components
 from docloom.llm.simhash import links
 
 WORDS, SIMILARITY, WIDE = 5, 0.8, 24
 BANDS, ROWS = 14, 4
+#: Rows of a bucket that one task takes; larger buckets are dealt out.
+CROWD = 20_000
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -85,35 +87,45 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, whole long, fp long, bands array<long>")
 
 
-def bucket_pairs(reps: DataFrame, wide: int = WIDE) -> DataFrame:
-    """(a, b), a below b: neighbours in the buckets of ``reps`` (doc_id, fp, bands)."""
+def bucket_pairs(reps: DataFrame, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a below b: neighbours in the buckets of ``reps`` (doc_id, fp, bands).
+
+    A bucket of more than ``crowd`` rows is dealt out in parts; the rows of all its parts are paired with
+    the bucket's smallest doc_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = head = last = None  # of the bucket that the rows before were in
+        place = head = last = None  # of the bucket that the rows before were in
         for batch in batches:
-            keys, fps, ids = (batch.column(c).to_numpy() for c in ("key", "fp", "doc_id"))
+            keys, parts, fps, ids = (batch.column(c).to_numpy() for c in ("key", "part", "fp", "doc_id"))
             if not len(keys):
                 continue
             fresh = np.ones(len(keys), bool)
-            fresh[1:] = keys[1:] != keys[:-1]
-            fresh[0] = keys[0] != key
+            fresh[1:] = (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])
+            fresh[0] = (keys[0], parts[0]) != place
             begin = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), -1))
             first_id = np.where(begin >= 0, ids[begin], head[0] if head else 0)
             first_fp = np.where(begin >= 0, fps[begin], head[1] if head else 0)
             last_id, last_fp = np.empty_like(ids), np.empty_like(fps)
             last_id[1:], last_fp[1:] = ids[:-1], fps[:-1]
             last_id[0], last_fp[0] = last if last else (0, 0)
-            key, head, last = keys[-1], (int(first_id[-1]), int(first_fp[-1])), (int(ids[-1]), int(fps[-1]))
+            place, head, last = (keys[-1], parts[-1]), (int(first_id[-1]), int(first_fp[-1])), (int(ids[-1]), int(fps[-1]))
+            dealt = parts >= 0
+            lead_id, lead_fp = (np.where(dealt, batch.column(c).fill_null(0).to_numpy(), x) for c, x in (("lead_id", first_id), ("lead_fp", first_fp)))
             a, b = [], []
-            for other_id, other_fp in ((first_id, first_fp), (last_id, last_fp)):
-                near = ~fresh & (np.bitwise_count((fps ^ other_fp).view(np.uint64)) <= wide) & (other_id != ids)
+            for other_id, other_fp, inside in ((lead_id, lead_fp, dealt | ~fresh), (last_id, last_fp, ~fresh)):
+                near = inside & (np.bitwise_count((fps ^ other_fp).view(np.uint64)) <= wide) & (other_id != ids)
                 a.append(np.minimum(ids, other_id)[near])
                 b.append(np.maximum(ids, other_id)[near])
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     keyed = reps.select("doc_id", "fp", F.explode("bands").alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key", "fp", "doc_id").mapInArrow(run, "a long, b long")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead_id"), F.min_by("fp", "doc_id").alias("lead_fp"))
+    dealt = keyed.join(crowded.filter(F.col("n") > crowd), "key", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / crowd)).cast("long"), F.lit(-1).cast("long"))
+    placed = dealt.select("key", part.alias("part"), "fp", "doc_id", "lead_id", "lead_fp")
+    return placed.repartition("key", "part").sortWithinPartitions("key", "part", "fp", "doc_id").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -154,6 +166,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.filter("doc_id is not null")
+    small_batches(docs.sparkSession)
     base = cut(profiles(docs, words))
     reps = cut(base.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     by_fp = reps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
