@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of the session's Arrow batches; a lower bound that is set already stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -38,8 +38,6 @@ SIZE, K = 50, 20
 REACH = SIZE - K
 WIDTH = SIZE + REACH
 CHUNK = 1 << 20
-#: Rows of an Arrow batch at most, so that batches of long texts stay small.
-BATCH_ROWS = 1000
 #: Text bytes for which one hash range, and one bucket of runs, is made.
 RANGE_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
 LOW = (1 << 40) - 1
@@ -444,7 +442,7 @@ def merged_spans(runs: DataFrame, parts: int) -> DataFrame:
 def find_repeats(docs: DataFrame, range_bytes: int = RANGE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents with a doc_id (doc_id, mark, text as zstd frames), spans (doc_id, spans: list of mark and packed span))."""
     spark = docs.sparkSession
-    small_batches(spark, BATCH_ROWS)
+    small_batches(spark)
     rows = docs.filter("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
