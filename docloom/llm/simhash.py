@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, small_batches
 from docloom.llm.components import components, forest
 
 RADIUS = 4
@@ -148,13 +148,15 @@ def links(fps: DataFrame, bucket: int = BUCKET, radius: int = RADIUS) -> DataFra
                 u, v = bucket_links(np.cumsum(fresh[:end]), part, done[4].copy().view(np.uint64), refs, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select(
+    # sorted down to the fingerprint, so that a bucket's forest is the same at every run
+    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").select(
         "key", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"),
         F.col("part").cast("long").alias("part"), "fp").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable."""
+    small_batches(docs.sparkSession)
     base = cut(fingerprints(docs, words))
     distinct = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), bucket, radius)).withColumnRenamed("node", "fp")
