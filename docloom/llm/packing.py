@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, partitions_for, prefix_hash, range_hash, text_blocks, word_bounds, worker_cache
+from docloom.llm.common import mix, partitions_for, prefix_hash, range_hash, small_batches, text_blocks, word_bounds, worker_cache
 
 LENGTH = 1024
 END = 0
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str = ""
     ``path`` names the tokenizer's file on every executor.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     facts = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     ranges = max(1, int((facts.bytes or 0) // range_bytes) + 1)
