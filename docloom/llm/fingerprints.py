@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hash, mix, partitions_for, prefix_hash, range_hash
+from docloom.llm.common import gram_hash, mix, partitions_for, prefix_hash, range_hash, small_batches
 
 K, S = 24, 8
 SKETCH = 64
@@ -124,6 +124,7 @@ def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     "Next" is the next row by (doc_id, text), after the last the first; null ids come first.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows, n = with_next(docs, bucket_bytes)
     order = F.coalesce("doc_id", F.lit(-(2**63)))
     heads = rows.groupBy("bucket").agg(F.min(order).alias("head")).collect()  # a row for each bucket
