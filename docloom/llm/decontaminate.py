@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import gram_hash, mix, powers, prefix_hash, range_hash
+from docloom.llm.common import gram_hash, mix, powers, prefix_hash, range_hash, small_batches
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
 #: Benchmark bytes searched at a time.
@@ -219,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
                  radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, hamming, start_word, n_words): the best window of every item in every
     document of ``docs`` (doc_id, text) that holds one at weighted similarity ``least`` or more."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def search_all(items: list[tuple[int, str]]) -> DataFrame:
@@ -242,6 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = SIMILARITY,
           radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage, in the same pass that finds them."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
