@@ -5,7 +5,8 @@ the languages of that family. All machines read hashed counts of letter trigrams
 (lower-cased, other signs as one gap), scaled to unit length. Margins are calibrated to probabilities by
 logistic fits; the score is the winner's family probability times its probability within the family.
 
-Training uses about ``PER_LANGUAGE`` labelled rows of each language, chosen by a hash of doc_id; ids,
+Training uses about ``PER_LANGUAGE`` labelled rows of each language (fewer if there are many languages),
+chosen by a hash of doc_id; ids,
 sources and labels are never features. A text that is null or holds no letter is ``und`` with score 0,
 as is every text if nothing was learned. Predictions treat rows one by one: ties between languages go
 to the first by name, repeated rows are predicted alike, an empty table gives no row.
@@ -23,10 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import worker_cache
+from docloom.llm.common import small_batches, worker_cache
 
 FEATURES = 4096
 PER_LANGUAGE = 800
+#: Languages learned at most, the most frequent ones.
+LANGUAGES = 200
+#: Rows learned from at most, over all languages.
+ROWS = 8000
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -168,10 +173,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel |
     """Learn from ``docs`` (doc_id, text, lang) that are not held out; None if there is nothing to learn from."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    small_batches(docs.sparkSession)
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
+    wanted = min(per_language, ROWS // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = usable.filter(place < F.element_at(share, F.col("lang")))
 
