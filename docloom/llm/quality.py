@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import range_hash, text_blocks
+from docloom.llm.common import range_hash, small_batches, text_blocks
 from docloom.llm.decontaminate import words_of
 
 LABELLED, UNLABELLED, HELD = 8000, 4000, 0.3
@@ -242,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     """Fit on samples of ``docs`` (doc_id, text, lang, source, n_chars) with and without ``labels``
     (doc_id, quality, toxic); None without labels."""
     place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    small_batches(docs.sparkSession)
     given = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     n, total = given.count(), docs.count()
     if not n or not total:
