@@ -1,14 +1,18 @@
-"""Near-duplicate documents by SimHash at a similarity of shingles, for filtering a corpus.
+"""Near-duplicate documents by SimHash and an exact join of shingle sets, for filtering a corpus.
 
-Pairs of fingerprints within a few bits come from the block index with its pivot tables. Similarity
-0.8 of five-word shingles allows about 18 differing bits, more than any block index of 64 bits can
-hold, so further candidates come from buckets of sampled shingles (``BANDS`` keys of ``ROWS`` minima of
-hashed shingles each: a pair at 0.8 shares a bucket with probability 0.9994); the fingerprints then
-discard pairs beyond ``WIDE`` bits. Every candidate is verified by the Jaccard similarity of whole
-shingle sets. Within a bucket, rows sorted by fingerprint are paired with the row before and with the
-first row, so a bucket of n rows gives fewer than 2 n pairs.
+Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. All
+such pairs are found: with the shingles of each set in one order, the rarest first, two sets that similar
+share one of the first n - ceil(0.8 n) + 1 of their n (the prefix), so documents meet in the postings of
+their prefixes' shingles. What most documents of a template or with a common line share stands last in that
+order and makes no posting. The order of a shingle is its count in a sample of the documents; it decides the
+work only, any order gives the same links.
 
-Documents with the same words are one class from the start and only its smallest doc_id goes on.
+Groups are drawn together before all pairs are looked at: SimHash's block index gives pairs within a few bits,
+and each row of a posting is paired with the one before and with the first. These are verified. Then every
+pair of a posting whose documents are not yet in one group, and whose sizes and places allow the similarity,
+is verified too, so a large group of near copies costs no square of rows and no pair is left out.
+
+Documents with the same words are one class from the start and only one set goes on.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, gram_hash, mix, prefix_hash, range_hash, small_batches, text_blocks, word_bounds
+from docloom.llm.common import cut, gram_hash, prefix_hash, range_hash, small_batches, text_blocks, word_bounds
 from docloom.llm.components import components
 from docloom.llm.simhash import links
 
-WORDS, SIMILARITY, WIDE = 5, 0.8, 24
-BANDS, ROWS = 14, 4
-#: Rows of a bucket that one task takes; larger buckets are dealt out.
+WORDS, SIMILARITY = 5, 0.8
+#: One document in so many is counted for the order of shingles; of that many shingles at most the count is kept.
+SAMPLE, KNOWN = 16, 200_000
+#: Rows of a posting that are compared in one task; larger postings are dealt out as pairs of parts.
 CROWD = 20_000
 
 
@@ -53,93 +58,186 @@ def shingles(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, whole, fp, bands) of every row: hash of all words, SimHash, and bucket keys."""
+    """(doc_id, whole, fp) of every row: hash of all words, and SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            wholes, fps, bands = [], [], []
+            wholes, fps = [], []
             for first, end, grams, at, whole in shingles(batch.column(1), words):
-                fp, keys = np.zeros(end - first, np.uint64), np.zeros((end - first, BANDS), np.uint64)
-                some = np.flatnonzero(np.diff(at) > 0)
-                with np.errstate(over="ignore"):
-                    for j, salt in enumerate(salts):
-                        if len(some):
-                            least = np.minimum.reduceat(grams * salt, at[:-1][some])
-                            keys[some, j // ROWS] = mix(keys[some, j // ROWS] + least)
-                    keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-                for i in some.tolist():
+                fp = np.zeros(end - first, np.uint64)
+                for i in np.flatnonzero(np.diff(at) > 0).tolist():
                     own = grams[at[i] : at[i + 1]]
                     bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     fp[i] = np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]
                 wholes.append(whole)
                 fps.append(fp)
-                bands.append(keys)
-            if not wholes:
-                continue
-            flat = np.concatenate(bands).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(wholes).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))],
-                ["doc_id", "whole", "fp", "bands"])
+            if wholes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (wholes, fps))],
+                                                 ["doc_id", "whole", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, whole long, fp long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, whole long, fp long")
+
+
+def counted(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, known: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many; the commonest ``known`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, grams, at, _ in shingles(batch.column(1), words):
+                own = [np.unique(grams[at[i] : at[i + 1]]) for i in range(end - first)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["key"])
 
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("doc_id", "text")
+    found = picked.mapInArrow(run, "key long").groupBy("key").count().filter("count > 1")
+    got = found.orderBy(F.desc("count"), "key").limit(known).toArrow()
+    keys, counts = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
-def bucket_pairs(reps: DataFrame, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a below b: neighbours in the buckets of ``reps`` (doc_id, fp, bands).
 
-    A bucket of more than ``crowd`` rows is dealt out in parts; the rows of all its parts are paired with
-    the bucket's smallest doc_id.
+def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int = WORDS, least: float = SIMILARITY, sample: int = SAMPLE,
+             crowd: int = CROWD) -> DataFrame:
+    """(key, lo, hi, part, whole, size, place): the prefix of every row's set of shingles.
+
+    ``place`` counts the set's shingles before this one. A crowded posting is dealt out: each part meets every
+    other and itself in one cell (lo, hi).
     """
+    keys, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = head = last = None  # of the bucket that the rows before were in
         for batch in batches:
-            keys, parts, fps, ids = (batch.column(c).to_numpy() for c in ("key", "part", "fp", "doc_id"))
-            if not len(keys):
+            for first, end, grams, at, whole in shingles(batch.column(1), words):
+                made = []
+                for i in np.flatnonzero(np.diff(at) > 0).tolist():
+                    own = np.unique(grams[at[i] : at[i + 1]])
+                    where = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                    count = np.where(keys[where] == own, counts[where], 0) if len(keys) else np.zeros(len(own), np.int64)
+                    n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                    order = np.argsort(count, kind="stable")[:n]
+                    cells = 1 + count[order] * sample // crowd
+                    row = np.repeat(np.arange(len(order)), cells)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
+                    part = (int(whole[i]) >> 7) % cells[row]
+                    made.append(np.stack([own[order][row].view(np.int64), np.minimum(part, other), np.maximum(part, other), part,
+                                          np.full(len(row), whole[i], np.uint64).view(np.int64), np.full(len(row), len(own)), row]))
+                if made:
+                    flat = np.concatenate(made, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x if k in (0, 4) else x.astype(np.int32)) for k, x in enumerate(flat)], POSTING)
+
+    made = docs.select("doc_id", "text").mapInArrow(run, "key long, lo int, hi int, part int, whole long, size int, place int")
+    return made.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "whole")
+
+
+POSTING = ["key", "lo", "hi", "part", "whole", "size", "place"]
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 50_000) -> Iterator[np.ndarray]:
+    """Rows of sorted batches as arrays (a line for each of ``names``; key, lo, hi first) that end where a cell ends."""
+    held, count = [], 0
+    for batch in (*batches, None):
+        if batch is not None:
+            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names]))
+            count += batch.num_rows
+            if count < rows:
                 continue
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])
-            fresh[0] = (keys[0], parts[0]) != place
-            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), -1))
-            first_id = np.where(begin >= 0, ids[begin], head[0] if head else 0)
-            first_fp = np.where(begin >= 0, fps[begin], head[1] if head else 0)
-            last_id, last_fp = np.empty_like(ids), np.empty_like(fps)
-            last_id[1:], last_fp[1:] = ids[:-1], fps[:-1]
-            last_id[0], last_fp[0] = last if last else (0, 0)
-            place, head, last = (keys[-1], parts[-1]), (int(first_id[-1]), int(first_fp[-1])), (int(ids[-1]), int(fps[-1]))
-            dealt = parts >= 0
-            lead_id, lead_fp = (np.where(dealt, batch.column(c).fill_null(0).to_numpy(), x) for c, x in (("lead_id", first_id), ("lead_fp", first_fp)))
-            a, b = [], []
-            for other_id, other_fp, inside in ((lead_id, lead_fp, dealt | ~fresh), (last_id, last_fp, ~fresh)):
-                near = inside & (np.bitwise_count((fps ^ other_fp).view(np.uint64)) <= wide) & (other_id != ids)
-                a.append(np.minimum(ids, other_id)[near])
-                b.append(np.maximum(ids, other_id)[near])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    keyed = reps.select("doc_id", "fp", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead_id"), F.min_by("fp", "doc_id").alias("lead_fp"))
-    dealt = keyed.join(crowded.filter(F.col("n") > crowd), "key", "left")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / crowd)).cast("long"), F.lit(-1).cast("long"))
-    placed = dealt.select("key", part.alias("part"), "fp", "doc_id", "lead_id", "lead_fp")
-    return placed.repartition("key", "part").sortWithinPartitions("key", "part", "fp", "doc_id").mapInArrow(run, "a long, b long")
+        if not count:
+            return
+        table = np.concatenate(held, axis=1)
+        end = table.shape[1]
+        if batch is not None:
+            fresh = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(0))
+            end = int(fresh[-1]) + 1 if len(fresh) else 0
+        held, count = [table[:, end:]], table.shape[1] - end
+        if end:
+            yield table[:, :end]
+
+
+def live(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Rows of ``posts`` that have another one of a size allowed in their cell; repeated rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches, POSTING):
+            same = np.zeros(table.shape[1], bool)
+            same[1:] = (table[:3, 1:] == table[:3, :-1]).all(0)
+            once = ~same
+            once[1:] |= table[4, 1:] != table[4, :-1]
+            table, same = table[:, once], same[once]
+            near = same.copy()
+            near[1:] &= table[5, :-1] >= least * table[5, 1:] - 1e-9
+            near[:-1] |= near[1:]
+            kept = table[:, near]
+            yield pa.RecordBatch.from_arrays([pa.array(x if k in (0, 4) else x.astype(np.int32)) for k, x in enumerate(kept)], POSTING)
+
+    return posts.mapInArrow(run, "key long, lo int, hi int, part int, whole long, size int, place int")
+
+
+def neighbours(posts: DataFrame) -> DataFrame:
+    """(a, b): each row of a cell with the one before it and with the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches, POSTING):
+            fresh = np.ones(table.shape[1], bool)
+            fresh[1:] = (table[:3, 1:] != table[:3, :-1]).any(0)
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(table.shape[1]), 0))
+            later = np.flatnonzero(~fresh)
+            left, right = np.concatenate([later - 1, lead[later]]), np.concatenate([later, later])
+            yield paired(table[4, left], table[4, right])
+
+    return posts.mapInArrow(run, "a long, b long")
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs (a, b), a below b."""
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def cell_pairs(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of a cell with different ``label`` whose sizes and places allow the similarity.
+
+    A pair that is similar enough passes at the first shingle that both have, so none is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches, [*POSTING, "label"]):
+            cell = np.cumsum(np.append(0, (table[:3, 1:] != table[:3, :-1]).any(0)))
+            mixed, part, (whole, size, place, label) = table[1] != table[2], table[3], table[4:]
+            left, lag, held, count = np.arange(len(cell)), 0, [], 0
+            while True:
+                lag += 1
+                left = left[left + lag < len(cell)]
+                near = (cell[left] == cell[left + lag]) & (size[left] >= least * size[left + lag] - 1e-9)
+                left = left[near]
+                if not len(left):
+                    break
+                right = left + lag
+                most = np.minimum(size[left] - place[left], size[right] - place[right])
+                ok = (label[left] != label[right]) & (most >= least / (1 + least) * (size[left] + size[right]) - 1e-6)
+                ok &= ~mixed[left] | (part[left] != part[right])
+                if ok.any():
+                    held.append((whole[left[ok]], whole[right[ok]]))
+                    count += len(held[-1][0])
+                if count > 1 << 19:
+                    yield paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, count = [], 0
+            if held:
+                yield paired(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return posts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "whole").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, set) of every row: its distinct shingle hashes, sorted, 32 bits each."""
+    """(whole, set) of every row: its distinct shingle hashes, sorted, 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for first, end, grams, at, _ in shingles(batch.column(1), words):
+            for first, end, grams, at, whole in shingles(batch.column(1), words):
                 small = (grams >> np.uint64(32)).astype("<u4")
-                made += [np.unique(small[at[i] : at[i + 1]]).tobytes() for i in range(end - first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "set"])
+                made = [np.unique(small[at[i] : at[i + 1]]).tobytes() for i in range(end - first)]
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(made, pa.binary())], ["whole", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "whole long, set binary")
 
 
 def jaccard(pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -168,22 +266,29 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     docs = docs.filter("doc_id is not null")
     small_batches(docs.sparkSession)
     base = cut(profiles(docs, words))
-    reps = cut(base.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    by_fp = reps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("doc_id").alias("x")), "u").join(
-        by_fp.select(F.col("fp").alias("v"), F.col("doc_id").alias("y")), "v")
+    reps = cut(base.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
+    posts = cut(live(postings(docs, counted(docs, words), words, least), least))
+    by_fp = reps.groupBy("fp").agg(F.min("whole").alias("whole"))
+    close = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("u"), F.col("whole").alias("x")), "u").join(
+        by_fp.select(F.col("fp").alias("v"), F.col("whole").alias("y")), "v")
     close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cut(bucket_pairs(reps).unionByName(close).distinct())
-    # only documents with a candidate partner have their sets made
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(shingle_sets(texts, words))
-    one, two = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    found = jaccard(pairs.join(one, "a").join(two, "b"), least)
-    label = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = reps.select("whole", F.col("doc_id").alias("node")).join(label, "node", "left").select(
-        "whole", F.coalesce("label", "node").alias("component_id"))
-    return base.select("doc_id", "whole").join(named, "whole").select("doc_id", "component_id")
+    # only documents with a possible partner have their sets made, and those of one row of a class
+    wanted = posts.select("whole").unionByName(close.select(F.explode(F.array("a", "b")).alias("whole"))).distinct()
+    chosen = reps.join(wanted, "whole", "left_semi").select("doc_id", "whole")
+    sets = cut(shingle_sets(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"), words).dropDuplicates(["whole"]))
+    one, two = (sets.select(F.col("whole").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return jaccard(pairs.join(one, "a").join(two, "b"), least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    drawn = components(verified(neighbours(posts).unionByName(close).distinct()))
+    drawn = cut(drawn.select(F.col("node").alias("whole"), "label"))
+    named = posts.join(drawn, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
+    more = verified(cell_pairs(named, least).distinct())
+    label = components(drawn.select(F.col("whole").alias("u"), F.col("label").alias("v")).unionByName(more))
+    grouped = reps.join(label.withColumnRenamed("node", "whole"), "whole", "left").withColumn("label", F.coalesce("label", "whole"))
+    first = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return base.select("doc_id", "whole").join(grouped.join(first, "label").select("whole", "component_id"), "whole").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
