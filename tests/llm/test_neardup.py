@@ -48,3 +48,14 @@ def test_copies_among_texts_of_a_template(spark):
     want = grouped(texts)
     assert len(set(want.values())) == 300
     assert found(spark, texts) == want
+
+
+def test_chains_of_gradual_edits(spark):
+    rng, texts = random.Random(6), []
+    for _ in range(12):
+        now = draw(rng, 110)
+        for _ in range(40):
+            texts.append(now)
+            now = edited(rng, now, 2)
+    rng.shuffle(texts)
+    assert found(spark, texts) == grouped(texts)
