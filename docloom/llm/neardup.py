@@ -58,7 +58,7 @@ def shingles(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, whole, fp) of every row: hash of all words, and SimHash."""
+    """(doc_id, whole, fp) of every row: hash of all words, and SimHash of its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +66,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for first, end, grams, at, whole in shingles(batch.column(1), words):
                 fp = np.zeros(end - first, np.uint64)
                 for i in np.flatnonzero(np.diff(at) > 0).tolist():
-                    own = grams[at[i] : at[i + 1]]
+                    own = np.unique(grams[at[i] : at[i + 1]])
                     bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     fp[i] = np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]
                 wholes.append(whole)

@@ -59,3 +59,13 @@ def test_chains_of_gradual_edits(spark):
             now = edited(rng, now, 2)
     rng.shuffle(texts)
     assert found(spark, texts) == grouped(texts)
+
+
+def test_copy_with_a_line_repeated(spark):
+    rng, texts = random.Random(7), []
+    for _ in range(40):
+        own, line = draw(rng, 204), draw(rng, 9)
+        texts += [own, own + 100 * line]
+    want = grouped(texts)
+    assert len(set(want.values())) == 40
+    assert found(spark, texts) == want
