@@ -172,8 +172,15 @@ def live(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return posts.mapInArrow(run, "key long, lo int, hi int, part int, whole long, size int, place int")
 
 
-def neighbours(posts: DataFrame) -> DataFrame:
-    """(a, b): each row of a cell with the one before it and with the first."""
+def allowed(table: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of a cell could be similar enough, if this shingle is the first that both have."""
+    size, place = table[5], table[6]
+    most = np.minimum(size[left] - place[left], size[right] - place[right])
+    return most >= least / (1 + least) * (size[left] + size[right]) - 1e-6
+
+
+def neighbours(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): each row of a cell with the one before it and with the first, if similar enough by size and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, POSTING):
@@ -182,7 +189,8 @@ def neighbours(posts: DataFrame) -> DataFrame:
             lead = np.maximum.accumulate(np.where(fresh, np.arange(table.shape[1]), 0))
             later = np.flatnonzero(~fresh)
             left, right = np.concatenate([later - 1, lead[later]]), np.concatenate([later, later])
-            yield paired(table[4, left], table[4, right])
+            ok = allowed(table, left, right, least)
+            yield paired(table[4, left[ok]], table[4, right[ok]])
 
     return posts.mapInArrow(run, "a long, b long")
 
@@ -202,7 +210,7 @@ def cell_pairs(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches, [*POSTING, "label"]):
             cell = np.cumsum(np.append(0, (table[:3, 1:] != table[:3, :-1]).any(0)))
-            mixed, part, (whole, size, place, label) = table[1] != table[2], table[3], table[4:]
+            mixed, part, whole, size, label = table[1] != table[2], table[3], table[4], table[5], table[7]
             left, lag, held, count = np.arange(len(cell)), 0, [], 0
             while True:
                 lag += 1
@@ -212,8 +220,7 @@ def cell_pairs(posts: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 if not len(left):
                     break
                 right = left + lag
-                most = np.minimum(size[left] - place[left], size[right] - place[right])
-                ok = (label[left] != label[right]) & (most >= least / (1 + least) * (size[left] + size[right]) - 1e-6)
+                ok = (label[left] != label[right]) & allowed(table, left, right, least)
                 ok &= ~mixed[left] | (part[left] != part[right])
                 if ok.any():
                     held.append((whole[left[ok]], whole[right[ok]]))
@@ -281,7 +288,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
     def verified(pairs: DataFrame) -> DataFrame:
         return jaccard(pairs.join(one, "a").join(two, "b"), least).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    drawn = components(verified(neighbours(posts).unionByName(close).distinct()))
+    drawn = components(verified(neighbours(posts, least).unionByName(close).distinct()))
     drawn = cut(drawn.select(F.col("node").alias("whole"), "label"))
     named = posts.join(drawn, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
     more = verified(cell_pairs(named, least).distinct())
