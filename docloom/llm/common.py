@@ -53,7 +53,7 @@ def partitions_for(spark: SparkSession, total_bytes: float, target: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // target) + 1)
 
 
-def text_blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts with about ``limit`` bytes; nulls count as empty.
 
     A text longer than the limit makes a run of its own; no text is cut.

@@ -1,22 +1,25 @@
 """Packing along a space-filling curve: neighbouring documents share sequences.
 
 Each document's hashed word vector is projected onto three signed random directions. The coordinates,
-scaled to unit variance and cut into 1024 levels each, give a Hilbert key. Rows are dealt into ranges
-of (key, hash of doc_id), sorted, and each range is one stream of tokens cut into sequences. What is
-left at the end of a range is cut into sequences of power-of-two lengths, which need no padding.
-
-Range boundaries come from the keys of a bounded hash sample; they move work between tasks and
-nothing else. Null texts count as empty, so they hold the closing id alone; rows that share a doc_id
-(or have a null one) are packed one by one; an empty table gives no piece; other columns are ignored.
+scaled to unit variance and cut into 1024 levels each, give a Hilbert key. Spark's range exchange sorts the
+texts by (key, hash of doc_id); each of its partitions is one stream of tokens, encoded where it is packed
+and cut into sequences. What is left at the end of a stream is cut into sequences of power-of-two lengths,
+which need no padding.
+
+Null texts count as empty, so they hold the closing id alone. Rows that share a doc_id (or have a null one)
+are packed one by one; copies, whose keys tie, are spread by the hash. Very long texts are encoded stretch by
+stretch and go on in as many sequences as they need. An empty table gives no piece; other columns of the input,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +28,24 @@ from docloom.llm.common import mix, partitions_for, prefix_hash, range_hash, sma
 LENGTH = 1024
 END = 0
 DIMENSIONS, LEVELS = 3, 10
-#: Rows whose keys set the range boundaries.
-SAMPLE = 20_000
-#: Text bytes of a range.
-RANGE_BYTES = 16 << 20
+#: Text bytes of a stream; beyond so many streams they grow, and their tasks sort on disk.
+RANGE_BYTES, STREAMS = 16 << 20, 100_000
+#: Characters encoded at a time, and where a text may be cut: the pattern of the vocabulary always ends a word
+#: before a single blank between letters.
+STRETCH = 1 << 16
+SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Ids that a stream holds before whole sequences of them go out.
+HELD = 1 << 18
+
+
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """The text in pieces of ``size`` characters or somewhat more, whose ids together are the text's."""
+    at = 0
+    while at < len(text):
+        seam = SEAM.search(text, at + size)
+        end = seam.start() if seam else len(text)
+        yield text[at:end]
+        at = end
 
 
 def tokenizer(path: str, ranks: str | None, pattern: str):
@@ -39,7 +56,6 @@ def tokenizer(path: str, ranks: str | None, pattern: str):
         return kept[path, ranks]
     import base64
     import os
-    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -55,11 +71,16 @@ def tokenizer(path: str, ranks: str | None, pattern: str):
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
     beyond = re.compile("[^\x00-ɏ]")
 
-    def ids(text: str) -> np.ndarray:
+    def part(text: str) -> np.ndarray:
         if fast is not None and not beyond.search(text):
             return np.array(fast.encode(text, allowed_special="all"), np.uint16)
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint16)
 
+    def ids(text: str) -> np.ndarray:
+        if len(text) <= STRETCH:
+            return part(text)
+        return np.concatenate([part(x) for x in stretches(text)])
+
     kept[path, ranks] = ids
     return ids
 
@@ -111,7 +132,7 @@ def curve_keys(texts: pa.Array) -> np.ndarray:
 
 
 def positions(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Sort value of each row: Hilbert key, then a hash of doc_id, so copies spread over ranges."""
+    """Sort value of each row: Hilbert key, then a hash of its number, so copies spread over streams."""
     tie = mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(31)
     return (curve_keys(texts) << 33) | tie.view(np.int64)
 
@@ -142,102 +163,71 @@ def cut_stream(lengths: np.ndarray, size: int = LENGTH) -> Iterator[tuple[int, i
 
 def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str = "", size: int = LENGTH,
          range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Pieces of all rows of ``docs`` (doc_id, text), with their ids as little-endian unsigned 16-bit bytes.
+    """Pieces of all rows of ``docs`` (doc_id, text), with their ids as little-endian unsigned 32-bit bytes.
 
     ``path`` names the tokenizer's file on every executor.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    ranges = max(1, int((facts.bytes or 0) // range_bytes) + 1)
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(positions(batch.column(1), ids))], ["at"])
-
-    every = max(1, facts.n // SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(place, "at long")
-    known = sample.agg(F.percentile_approx("at", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("p")
-                       ).first().p if ranges > 1 else []
-    bounds = np.array(known or [], np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokenizer(path, ranks, pattern)
-        close = np.array([END], np.uint16)
-        for batch in batches:
-            at = positions(batch.column(1), batch.column(0).fill_null(-1).to_numpy())
-            ids = [np.concatenate([ids_of(t.as_py()), close]).tobytes() for t in batch.column(1)]
-            part = np.searchsorted(bounds, at, "right")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(at), pa.array(part.astype(np.int64)), pa.array(ids, pa.binary())],
-                ["doc_id", "at", "range", "ids"])
+            # rows without a doc_id are told apart by their place in the input, which a repeated task finds again
+            own = -1 - np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = np.where(known, batch.column(0).fill_null(0).to_numpy(), own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(positions(batch.column(1), ids))], ["doc_id", "text", "at"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        kept: list[tuple] = []
-        tokens, last, sequence = 0, None, 0
+        types = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+        ids_of = tokenizer(path, ranks, pattern)
+        close = np.array([END], np.uint16)
+        stream = TaskContext.get().partitionId() << 32
+        kept: list[tuple] = []  # doc_id, ids, how many of them are out
+        tokens, sequence = 0, 0
 
         def flush(final: bool) -> pa.RecordBatch:
-            """Whole sequences of what is kept; at the end of a range, all of it."""
+            """Whole sequences of what is kept; at the end of the stream, all of it."""
             nonlocal kept, tokens, sequence
-            lengths = np.array([len(b) // 2 - s for _, b, s in kept], np.int64)
             take = tokens if final else tokens - tokens % size
-            out, used, consumed = [[] for _ in names], 0, 0
-            clipped, below = [], take
-            for n in lengths.tolist():
-                clipped.append(min(n, below))
+            out, clipped, below, top = [[] for _ in names], [], take, 0
+            for _, body, skip in kept:
+                clipped.append(min(len(body) - skip, below))
                 below -= clipped[-1]
-            top = 0
             for row, start, n, k, offset in cut_stream(np.array(clipped, np.int64), size):
                 doc, body, skip = kept[row]
-                values = (doc, skip + start, n, body[2 * (skip + start) : 2 * (skip + start + n)], len(body) // 2,
-                          (last << 32) + sequence + k, offset)
+                values = (doc, skip + start, n, body[skip + start : skip + start + n].astype("<u4").tobytes(), len(body),
+                          stream + sequence + k, offset)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 top = k + 1
             sequence += top
-            kept = [(d, b, s + c) for (d, b, s), c in zip(kept, clipped, strict=True) if s + c < len(b) // 2]
+            kept = [(d, b, s + c) for (d, b, s), c in zip(kept, clipped, strict=True) if s + c < len(b)]
             tokens -= take
-            types = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
         for batch in batches:
-            for doc, part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part != last:
-                    if kept:
-                        yield flush(True)
-                    last, sequence = part, 0
-                body = body.as_py()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = np.concatenate([ids_of(text.as_py()), close])
                 kept.append((doc, body, 0))
-                tokens += len(body) // 2
-                if tokens >= 1 << 20:
+                tokens += len(body)
+                if tokens >= HELD:
                     yield flush(False)
         if kept:
             yield flush(True)
 
-    coded = rows.mapInArrow(encode, "doc_id long, at long, range long, ids binary")
-    parts = partitions_for(spark, facts.bytes or 0, range_bytes)
-    sorted_rows = coded.repartition(parts, "range").sortWithinPartitions("range", "at", "doc_id", "ids")
-    return sorted_rows.select("doc_id", "range", "ids").mapInArrow(
+    streams = min(STREAMS, partitions_for(spark, total, range_bytes))
+    placed = rows.mapInArrow(place, "doc_id long, text string, at long")
+    sorted_rows = placed.repartitionByRange(streams, "at").sortWithinPartitions("at", "doc_id")
+    return sorted_rows.select("doc_id", "text").mapInArrow(
         emit, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def ids_crc32(ids: bytes) -> int:
-    """CRC-32 of 16-bit ids widened to unsigned 32 bits, little-endian."""
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-
-
 def pieces(packed: DataFrame) -> DataFrame:
-    """``pack``'s rows with ``ids_crc32`` in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([ids_crc32(x.as_py()) for x in batch.column("ids")], pa.int64())
-            at = batch.schema.names.index("ids")
-            yield pa.RecordBatch.from_arrays([crc if i == at else c for i, c in enumerate(batch.columns)],
-                                             ["ids_crc32" if i == at else c for i, c in enumerate(batch.schema.names)])
-
-    return packed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                  "sequence_id long, offset long")
+    """``pack``'s rows with the CRC-32 of the ids in place of the ids."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -62,3 +62,21 @@ def test_like_documents_stand_near(spark):
     base = " ".join(f"w{i}" for i in range(400))
     keys = packing.curve_keys(pa.array([base, base + " tail", None, ""]))
     assert packing.curve_keys(pa.array([base]))[0] == keys[0] and keys[2] == keys[3]
+
+
+def test_stretches_of_a_long_text_give_its_ids(monkeypatch):
+    slow = packing.tokenizer(public_tokenizer()[0], None, "")
+    text = "plain words here, l'été 你好  two blanks\n\nand 'll (x) 12 end " * 40
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    assert "".join(packing.stretches(text, 50)) == text and len(list(packing.stretches(text, 50))) > 20
+    whole = Tokenizer.from_file(public_tokenizer()[0]).encode(text, add_special_tokens=False).ids
+    assert np.concatenate([slow(x) for x in packing.stretches(text, 50)]).tolist() == whole
+
+
+def test_copies_spread_over_streams(spark):
+    df = spark.createDataFrame([(i if i % 2 else None, "the same words " * 50) for i in range(2000)], "doc_id long, text string")
+    got = packing.pack(df, *public_tokenizer(), range_bytes=50_000).collect()
+    streams = defaultdict(int)
+    for r in got:
+        streams[r.sequence_id >> 32] += r.length
+    assert len(streams) > 10 and max(streams.values()) < 0.3 * sum(streams.values())
