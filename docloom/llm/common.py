@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial byte hash (mod 2^64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -53,6 +54,27 @@ def partitions_for(spark: SparkSession, total_bytes: float, target: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // target) + 1)
 
 
+#: Bits of an ``id_filter``: 4 MB at most, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """A bitmap of the hashes of the column ``name``, as at most 1024 rows of 4 KB. It is for ``perhaps_in``, which
+    saves exchanges; rows that pass it are still to be joined, so a full bitmap costs work and no result."""
+    at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+
+
+def perhaps_in(rows: DataFrame, wanted: DataFrame, flag: str, name: str = "doc_id") -> DataFrame:
+    """``rows`` with the column ``flag``: false where ``name`` is in none of the ids that the bitmap ``wanted`` holds."""
+    at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    byte = F.substring("__bits", (F.shiftright(F.bitmap_bit_position(at), 3) + 1).cast("int"), F.lit(1))
+    place = (F.bitmap_bit_position(at) % 8 + 1).cast("int")
+    bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place))
+    joined = rows.join(F.broadcast(wanted), F.bitmap_bucket_number(at) == F.col("__bucket"), "left")
+    return joined.withColumn(flag, F.coalesce(bit > 0, F.lit(False))).drop("__bucket", "__bits")
+
+
 def text_blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts with about ``limit`` bytes; nulls count as empty.
 

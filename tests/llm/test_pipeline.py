@@ -50,7 +50,7 @@ def test_stage_by_stage(spark, sf_dir, tmp_path):
 
     slow, packed = Tokenizer.from_file(queries.public_tokenizer()[0]), {}
     for r in kept[5].orderBy("doc_id", "start").collect():
-        packed.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u2").tolist())
+        packed.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert packed == {d: slow.encode(t, add_special_tokens=False).ids + [0] for d, t in texts[4].items()}
 
 

@@ -86,13 +86,3 @@ def test_keep_first(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, 4, 5, None]
     assert neardup.keep_first(df.limit(0)).count() == 0
-
-
-def test_crowded_buckets_are_dealt_out_and_stay_connected(spark):
-    rows = [(i, i % 3, [7, 100 + i]) for i in range(500)] + [(i, 2**62 + i, [8]) for i in (1000, 1001)]
-    reps = spark.createDataFrame(rows, "doc_id long, fp long, bands array<long>")
-    for crowd in (20_000, 40):
-        pairs = neardup.bucket_pairs(reps, crowd=crowd).collect()
-        assert len({(r.a, r.b) for r in pairs}) <= 2 * len(rows) and all(r.a < r.b for r in pairs)
-        got = {r.node: r.label for r in components(spark.createDataFrame([(r.a, r.b) for r in pairs], "u long, v long")).collect()}
-        assert got == {**{i: 0 for i in range(500)}, 1000: 1000, 1001: 1000}
