@@ -13,9 +13,9 @@ work only, any order gives the same links.
    are dropped by a bitmap of a 32nd of the set's size, and none that is.
 2. SimHash's pivot tables give pairs within a few bits, and each row of a posting is paired with the one before and
    with the first. Of the pairs that pass the bitmaps, the nearest of each document are verified on the whole sets.
-3. Then every pair whose documents are not yet in one group is verified too: those left from step 2, and all
-   pairs of a posting of three rows or more whose sizes and places allow the similarity. So a large group of near
-   copies costs no square of rows, and no pair is left out.
+3. Then pairs whose documents are not yet in one group are verified: those left from step 2, those of rows that an order
+   drawn at random brings near in a posting, and at last all pairs of a posting of three rows or more whose sizes and
+   places allow the similarity. So a large group of near copies is one before its pairs are looked at, and no pair is left out.
 
 Null texts count as empty; documents without words are one group. Very long texts are one row like any other,
 with a longer prefix and bitmap. Rows with a null doc_id are in no group. Repeated rows are copies; an empty
@@ -24,6 +24,7 @@ table has no group. Other columns, whatever their names, are ignored, and kept b
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import (
-    cut, gram_hash, id_filter, partitions_for, perhaps_in, prefix_hash, range_hash, small_batches, text_blocks, word_bounds,
+    cut, gram_hash, id_filter, mix, partitions_for, perhaps_in, prefix_hash, range_hash, small_batches, text_blocks, word_bounds,
 )
 from docloom.llm.components import components
 from docloom.llm.simhash import links
@@ -43,6 +44,8 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLE, KNOWN = 16, 200_000
 #: Rows of a posting that are compared in one task; larger postings are dealt out as pairs of parts.
 CROWD = 20_000
+#: Before all pairs of a posting are looked at, each row meets those so far from it in an order drawn for the posting.
+LAGS = tuple(range(1, 33))
 #: Text bytes for which one range of postings is made.
 RANGE_BYTES = 32 << 20
 POSTING = "kind int, key long, whole long, size int, place int, other long"
@@ -257,21 +260,28 @@ def whole_cells(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterat
             yield table[:, :end]
 
 
-def cell_pairs(live: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def cell_pairs(live: DataFrame, least: float = SIMILARITY, lags: tuple[int, ...] = (),
+               draw: int = 0) -> DataFrame:
     """(a, b): all pairs of a cell of ``live`` (key, size, whole, place, label) with different labels whose sizes and
-    places allow the similarity. A pair that is similar enough passes at the first shingle that both have, so none is lost."""
+    places allow the similarity. A pair that is similar enough passes at the first shingle that both have, so none is lost.
+
+    With ``lags`` each row is paired only with those so far from it in an order drawn for the cell by the number ``draw``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(held: list) -> pa.RecordBatch:
             pairs = distinct_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-        for key, size, whole, place, label in whole_cells(batches):
-            left, lag, held, count = np.arange(len(key)), 0, [], 0
-            while True:
-                lag += 1
+        for table in whole_cells(batches):
+            if lags:
+                table = table[:, np.lexsort((mix((table[2] ^ table[0] ^ draw).view(np.uint64)), table[0]))]
+            key, size, whole, place, label = table
+            left, held, count = np.arange(len(key)), [], 0
+            for lag in lags or itertools.count(1):
                 left = left[left + lag < len(key)]
-                left = left[(key[left] == key[left + lag]) & (size[left] >= least * size[left + lag] - 1e-9)]
+                left = left[key[left] == key[left + lag]]
+                if not lags:  # rows of a cell are sorted by size
+                    left = left[size[left] >= least * size[left + lag] - 1e-9]
                 if not len(left):
                     break
                 right = left + lag
@@ -359,6 +369,12 @@ def labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
+def grown(drawn: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(whole, label) of the groups ``drawn``, joined by the links ``more`` (u, v)."""
+    known = more if drawn is None else drawn.select(F.col("whole").alias("u"), F.col("label").alias("v")).unionByName(more)
+    return cut(components(known).select(F.col("node").alias("whole"), "label"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id; component_id is the smallest doc_id of its group."""
     spark = docs.sparkSession
@@ -380,15 +396,22 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, sampl
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.struct("apart", "a", "b").alias("p")),
                                          F.struct(F.col("b").alias("x"), F.struct("apart", "a", "b").alias("p")))).alias("e"))
     nearest = cut(ends.groupBy("e.x").agg(F.min("e.p").alias("p")).select("p.a", "p.b").distinct())
-    drawn = components(verified(nearest, reps, docs, words, least))
-    drawn = cut(drawn.select(F.col("node").alias("whole"), "label"))
+    drawn = grown(None, verified(nearest, reps, docs, words, least))
+    # the others of them join what is drawn, so that a large group is one before all pairs are looked at
+    rest = cut(labelled(near.select("a", "b"), drawn).join(nearest, ["a", "b"], "left_anti"))
+    drawn = grown(drawn, verified(rest, reps, docs, words, least))
     live = met.filter("kind = 1").select("key", "size", "whole", "place")
-    live = live.join(drawn, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
-    further = near_pairs(cell_pairs(live, least), reps, least).select("a", "b").unionByName(labelled(near.select("a", "b"), drawn))
-    further = cut(further.join(nearest, ["a", "b"], "left_anti").distinct())
-    more = verified(further, reps, docs, words, least)
-    label = components(drawn.select(F.col("whole").alias("u"), F.col("label").alias("v")).unionByName(more))
-    names = reps.select("whole", "doc_id").join(label.withColumnRenamed("node", "whole"), "whole", "left").withColumn("label", F.coalesce("label", "whole"))
+
+    def named_live() -> DataFrame:
+        return live.join(drawn, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
+
+    done = nearest.unionByName(rest)
+    for draw, lags in enumerate((LAGS, LAGS, ())):
+        pairs = near_pairs(cell_pairs(named_live(), least, lags, draw), reps, least).select("a", "b")
+        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
+        drawn = grown(drawn, verified(pairs, reps, docs, words, least))
+        done = done.unionByName(pairs)
+    names = reps.select("whole", "doc_id").join(drawn, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
     first = names.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = names.join(first, "label").filter("doc_id != component_id").select("whole", "doc_id", "component_id")
     # a class of copies is named by its first document, unless its group has a smaller one
