@@ -2,11 +2,13 @@
 
 Two first-order Markov models over character classes, one of random strings and one of ordinary
 identifiers, are trained from labelled samples. A token whose log-likelihood ratio favours the random
-model is reported beside the matches of the base patterns. Weights are whole thousandths of a nat, so
-sums are exact in any engine.
+model is reported beside the matches of the base patterns, unless one of these is the very same span. Weights are
+whole thousandths of a nat, so sums are exact in any engine.
 
-Null texts count as empty. Rows are independent: repeated rows give repeated results, an empty table
-gives none, extra columns are ignored by ``scan`` and kept by ``redact``.
+Null texts count as empty (``redact`` leaves them null). Very long texts with very many matches take time in
+proportion: places come from sums in blocks, and masked texts are put together from chunks. Rows are independent:
+repeated rows give repeated results, an empty table gives none. Other columns, whatever their names, are ignored by ``scan``
+and kept as they are by ``redact``.
 """
 
 from __future__ import annotations
@@ -107,18 +109,31 @@ def llr(text: Column, weights: list[int]) -> Column:
     return F.aggregate(_classes(text), start, step, lambda acc: acc["sum"])
 
 
-def _running(lengths: Column, block: int = 128) -> Column:
-    """Sums of the entries before each entry, in blocks, so the work is not quadratic in the matches."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("int")
-    n = F.size(lengths)
-    totals = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / block, F.lit(0)).cast("int")),
-                         lambda b: F.aggregate(F.slice(lengths, b * block + 1, block), zero, add))
-    small = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i), zero, add))
-    large = F.transform(lengths, lambda _, i: F.aggregate(
-        F.slice(totals, F.lit(1), (i / block).cast("int")), zero, add) + F.aggregate(
-        F.slice(lengths, (i / block).cast("int") * block + 1, i % block), zero, add))
-    return F.when(n <= block, small).otherwise(large)
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is worked out once, also where ``use`` needs it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, combine, block: int = 128) -> Column:
+    """``combine`` (a sum, a maximum) of 0 and the entries before each entry, in blocks: its work grows with the entries."""
+    fold = lambda a: F.aggregate(a, F.lit(0).cast("int"), combine)
+
+    def of(v: Column) -> Column:
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / block).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, b * block + 1, block)))
+        heads = _bound(blocks, lambda t: F.transform(t, lambda _, i: fold(F.slice(t, F.lit(1), i))))
+        return _bound(heads, lambda h: F.transform(v, lambda _, i: combine(
+            F.element_at(h, (i / block).cast("int") + 1), fold(F.slice(v, (i / block).cast("int") * block + 1, i % block)))))
+
+    return _bound(values, of)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -135,7 +150,7 @@ def _spans(text: str, pattern: str, kind: str, rank: int, keep=None) -> Column:
     pieces = F.split(t, pattern, -1)
     sizes = F.zip_with(F.transform(pieces, F.length), F.transform(found, F.length),
                        lambda p, m: F.struct(p.alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
-    before = _running(F.transform(sizes, lambda s: s["p"] + s["m"]))
+    before = _before(F.transform(sizes, lambda s: s["p"] + s["m"]), _sum)
     made = F.transform(F.slice(F.zip_with(sizes, before, lambda s, b: F.struct(s["p"].alias("p"), s["m"].alias("m"), b.alias("b"))),
                                F.lit(1), F.size(found)),
                        lambda s: F.struct((s["b"] + s["p"]).cast("int").alias("start"), F.lit(rank).alias("rank"),
@@ -162,7 +177,10 @@ def find(docs: DataFrame, weights: list[int], text: str = "text") -> DataFrame:
     ratio = lambda m: llr(m, weights) >= THRESHOLD * (F.length(m) - 1)
     df = df.withColumn("__random", _spans(t, TOKEN, "random", 3, lambda found: F.transform(found, ratio)))
     df = df.withColumn("base_spans", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    added = F.filter("__random", lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    place = lambda x: x["start"].cast("long") * (1 << 31) + x["end"]
+    fresh = F.array_except(F.transform("__random", place), F.transform("base_spans", place))
+    added = F.transform(fresh, lambda x: F.struct((x / (1 << 31)).cast("int").alias("start"), F.lit(3).alias("rank"),
+                                                  F.lit("random").alias("kind"), (x % (1 << 31)).cast("int").alias("end"))).cast(SPAN)
     return df.withColumn("all_spans", F.when(F.size("__random") == 0, F.col("base_spans")).otherwise(
         F.array_sort(F.concat("base_spans", added)))).drop(t)
 
@@ -180,22 +198,40 @@ def scan(docs: DataFrame, weights: list[int]) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, weights: list[int], mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by ``mask``; overlapping spans give one mask."""
-    kept = docs.columns
-    df = find(docs, weights)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Code points of a chunk of text in ``redact``.
+PART = 4096
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` for each run of overlapping spans, which are in order of their starts."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PART).cast("int")),
+                        lambda i: F.substring(text, (i * PART + 1).cast("int"), F.lit(PART)))
+    reached = _before(F.transform(spans, lambda s: s["end"]), _most)
+    gaps = F.zip_with(spans, reached, lambda s, r: F.struct(r.alias("a"), s["start"].alias("b")))
+    end = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("a"), F.length(text).alias("b"))
+
+    def with_parts(chunks: Column) -> Column:
+        def piece(g: Column) -> Column:
+            first, last = (g["a"] / PART).cast("int"), (g["b"] / PART).cast("int")
+            head = F.substring(F.element_at(chunks, first + 1), (g["a"] % PART + 1).cast("int"), F.lit(PART))
+            middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            tail = F.substring(F.element_at(chunks, last + 1), F.lit(1), g["b"] % PART)
+            one = F.substring(F.element_at(chunks, first + 1), (g["a"] % PART + 1).cast("int"), g["b"] - g["a"])
+            return F.when(first == last, one).otherwise(F.concat(head, middle, tail))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(mask))).alias("out"))
+        apart = F.filter(gaps, lambda g: g["a"] <= g["b"])
+        return F.concat(F.array_join(F.transform(apart, lambda g: F.concat(piece(g), F.lit(mask))), ""),
+                        _bound(end, piece))
 
-    masked = F.aggregate("all_spans", start, step, lambda acc: F.concat(
-        acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("all_spans") > 0, masked).otherwise(F.col("text")))
-    return df.select(*kept)
+    return _bound(parts, with_parts)
+
+
+def redact(docs: DataFrame, weights: list[int], mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by ``mask``; overlapping spans give one mask."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    df = find(row, weights)
+    masked = F.when(F.size("all_spans") > 0, _masked(F.col("text"), F.col("all_spans"), mask)).otherwise(F.col("text"))
+    return df.select(*[(masked if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def oracle_sql(samples: int = 4000) -> str:
@@ -240,5 +276,5 @@ def oracle_sql(samples: int = 4000) -> str:
  base AS (SELECT doc_id, len(a.s) AS n_assign, len(b.s) AS n_access, len(c.s) AS n_hex,
    list_sort({bare.format('a.s')} || {bare.format('b.s')} || {bare.format('c.s')}) AS s FROM named a JOIN keys b USING (doc_id) JOIN hexes c USING (doc_id))
  SELECT doc_id, n_assign, n_access, n_hex, sha256({texts.format('s')}) AS base_sha256, {texts.format('list_sort(s || more)')} AS spans
- FROM (SELECT base.*, {bare.format("list_filter(tokens.s, lambda x: len(list_filter(base.s, lambda y: y['start'] < x['end'] AND x['start'] < y['end'])) = 0)")} AS more
+ FROM (SELECT base.*, {bare.format("list_filter(tokens.s, lambda x: len(list_filter(base.s, lambda y: y['start'] = x['start'] AND x['end'] = y['end'])) = 0)")} AS more
    FROM base JOIN tokens USING (doc_id))"""
