@@ -71,6 +71,13 @@ def range_codes(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(ranges) << np.uint64(40) | hashes & np.uint64(LOW)).astype(np.int64)
 
 
+def sections(*sorted_columns: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """(value, its slice of each column) for every value that occurs; each column is sorted."""
+    found = [np.unique(c, return_index=True) for c in sorted_columns]
+    for value in np.unique(np.concatenate([v for v, _ in found])).tolist():
+        yield value, [slice(int(np.searchsorted(c, value)), int(np.searchsorted(c, value, "right"))) for c in sorted_columns]
+
+
 def anchor_runs(docs: DataFrame, ranges: int) -> DataFrame:
     """Step 1's runs: (range, low, who, docs) and, for hashes repeated in a chunk, (hit_docs, hit_codes)."""
 
@@ -93,19 +100,15 @@ def anchor_runs(docs: DataFrame, ranges: int) -> DataFrame:
                 alone = head & np.append(head[1:], True)
                 hit_docs, hit_codes = doc[~alone], codes[~alone]
                 doc, codes = doc[head], codes[head]
-                part = codes >> 40
-                bounds = np.searchsorted(part, np.arange(ranges + 1))
                 spread = hit_docs % ranges
                 by = np.argsort(spread, kind="stable")
                 hit_docs, hit_codes, spread = hit_docs[by], hit_codes[by], spread[by]
-                hits = np.searchsorted(spread, np.arange(ranges + 1))
                 out = []
-                for r in np.flatnonzero((np.diff(bounds) > 0) | (np.diff(hits) > 0)).tolist():
-                    a, b = bounds[r], bounds[r + 1]
-                    table, who = np.unique(doc[a:b], return_inverse=True)
-                    planes = (codes[a:b] & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
+                for r, (own, hits) in sections(codes >> 40, spread):
+                    table, who = np.unique(doc[own], return_inverse=True)
+                    planes = (codes[own] & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T
                     out.append((r, planes.tobytes(), who.astype("<u2" if len(table) < 65536 else "<u4").tobytes(), table.tobytes(),
-                                hit_docs[hits[r] : hits[r + 1]].tobytes(), hit_codes[hits[r] : hits[r + 1]].tobytes()))
+                                hit_docs[hits].tobytes(), hit_codes[hits].tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 5, strict=True)], names)
@@ -342,17 +345,15 @@ def suffix_runs(rows: DataFrame, ranges: int, buckets: int) -> DataFrame:
                 strings, left, right, where = strings[go], left[go], right[go], where[go]
                 row, bucket = owner[row[go]], codes[go] % buckets
                 by = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                spans = np.searchsorted(settled[:, 0], np.arange(buckets + 1))
                 out = []
-                for b in np.flatnonzero((np.diff(bounds) > 0) | (np.diff(spans) > 0)).tolist():
-                    mine = by[bounds[b] : bounds[b + 1]]
+                for b, (own, spans) in sections(bucket[by], settled[:, 0]):
+                    mine = by[own]
                     prefix, rest = front_code(strings[mine])
                     sides = np.stack([left[mine], right[mine]], axis=1).astype(np.uint8).tobytes()
-                    own, who = np.unique(row[mine], return_inverse=True)
-                    docs = np.stack([ids[first:end][own], marks[first:end][own]], axis=1).tobytes()
+                    texts, who = np.unique(row[mine], return_inverse=True)
+                    docs = np.stack([ids[first:end][texts], marks[first:end][texts]], axis=1).tobytes()
                     out.append((b, prefix, pack(rest), sides, who.astype("<u4").tobytes(), docs, where[mine].astype("<u4").tobytes(),
-                                np.ascontiguousarray(settled[spans[b] : spans[b + 1], 1:]).tobytes()))
+                                np.ascontiguousarray(settled[spans, 1:]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return rows.mapInArrow(run, "bucket long, prefix binary, rest binary, sides binary, who binary, docs binary, at binary, spans binary")
