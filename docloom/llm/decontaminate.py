@@ -10,8 +10,9 @@ maxima of the shingles' counts. At similarity 0.8 a fingerprint differs in 9.7 b
 deviation 2.9), so the radius holds 99.9 % of pairs just at the threshold and all but none above.
 
 The benchmark is taken in blocks of bounded size, each searched against all documents. Null and empty
-texts hold no passage and items without words match nothing; repeated rows are reported alike; empty
-tables give no row; other columns are ignored (``clean`` keeps them).
+texts hold no passage and items without words match nothing; an item with a null item_id is searched for like
+any other and reported with a null. Very long texts are read whole. Of equal windows of an item the first counts; repeated
+rows are reported alike; empty tables give no row; other columns, whatever their names, are ignored (``clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -205,14 +206,17 @@ def _found(texts: pa.Array, bench: Benchmark, least: float) -> Iterator[tuple[in
         first = end
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, by blocks of about ``block_bytes``."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int | None], list[tuple[int, str]]]]:
+    """(item ids, a null one last; items as index of the id and text), by blocks of about ``block_bytes``."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     held = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = int(held // block_bytes) + 1
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield sorted((r.item_id or 0, r.text) for r in part.collect())
+        found = [(r.item_id, r.text) for r in part.collect()]
+        ids = sorted({k for k, _ in found}, key=lambda k: (k is None, k or 0))
+        index = {k: i for i, k in enumerate(ids)}
+        yield ids, sorted((index[k], text) for k, text in found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = SIMILARITY,
@@ -222,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def search_all(items: list[tuple[int, str]]) -> DataFrame:
+    def search_all(known: list[int | None], items: list[tuple[int, str]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)  # of bounded size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,20 +235,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                out = [(ids[row], *found) for row, *found in _found(batch.column(1), bench, least)]
+                out = [(ids[row], known[item], *found) for row, item, *found in _found(batch.column(1), bench, least)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
 
         return rows.mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.unionByName, [search_all(items) for items in _blocks(benchmark, block_bytes)])
+    return reduce(DataFrame.unionByName, [search_all(*block) for block in _blocks(benchmark, block_bytes)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = SIMILARITY,
           radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage, in the same pass that finds them."""
     small_batches(docs.sparkSession)
-    for items in _blocks(benchmark, block_bytes):
+    for _, items in _blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -75,11 +75,11 @@ def test_hamming_index_finds_all_within_radius():
 
 
 def test_edge_rows(spark):
-    items = spark.createDataFrame([(1, "one two", 1), (2, None, 1), (3, "", 1), (4, "a b c d e f g h", 1), (4, "a b c d e f g h", 1)], "item_id long, text string, doc_id long")
+    items = spark.createDataFrame([(1, "one two", 1), (2, None, 1), (3, "", 1), (4, "a b c d e f g h", 1), (4, "a b c d e f g h", 1), (None, "n o p q r s t", 1)], "item_id long, text string, doc_id long")
     docs = spark.createDataFrame([(1, None, "p"), (2, "x One, two z", "p"), (3, "one b two", "p"), (4, "A B C D E F G H!", "p"), (5, "a b c d e f g", "p"), (6, "a b", "p"),
-                                  (4, "A B C D E F G H!", "p"), (None, "a b c d e f g h", "p"), (7, "word " * 100_000, "p")], "doc_id long, text string, item_id string")
+                                  (4, "A B C D E F G H!", "p"), (None, "a b c d e f g h", "p"), (7, "word " * 100_000, "p"), (8, "m n o p q r s t", "p")], "doc_id long, text string, item_id string")
     got = Counter((r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect())
-    assert got == {(2, 1): 1, (4, 4): 2, (None, 4): 1}
-    assert dc.contaminated(docs, items, block_bytes=5).count() == 4
+    assert got == {(2, 1): 1, (4, 4): 2, (None, 4): 1, (8, None): 1}
+    assert dc.contaminated(docs, items, block_bytes=5).count() == 5
     assert sorted((r.doc_id for r in dc.clean(docs, items).collect())) == [1, 3, 5, 6, 7]
     assert dc.contaminated(docs.limit(0), items).collect() == [] and dc.contaminated(docs, items.limit(0)).collect() == []
