@@ -9,6 +9,8 @@ that fits the budget beside the retained system turn and a limited suffix of the
 span; at least one new turn is taken, so a turn larger than the budget stands whole. Repeated turns are
 never under the loss mask: each assistant text is a target once, in the window where it is new.
 
+Tokens are those of the formatted texts, by a vocabulary or, without one, words and signs.
+
 Rows are streamed in order of (conv_id, turn, role, text), so a conversation of any length needs the
 memory of one window. Null texts and roles count as empty, null turns come first, rows with a null
 conv_id are one conversation, ties and repeated rows are turns of their own, an empty table gives no
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.packing import tokenizer
+
 BUDGET, HISTORY = 1024, 256
 START, STOP = "### ", "</turn>\n"
 #: Tokens of a turn's marks.
@@ -74,6 +78,11 @@ def simple_tokens(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
+def vocabulary_tokens(path: str, ranks: str | None = None, pattern: str = "") -> Callable[[str], int]:
+    """Counts a text's ids in the vocabulary that ``path`` names on every executor (see ``packing.tokenizer``)."""
+    return lambda text: len(tokenizer(path, ranks, pattern)(text))
+
+
 def windows(turns: Iterator[tuple[object, str, str]], budget: int = BUDGET, history: int = HISTORY,
             tokens: Callable[[str], int] = simple_tokens) -> Iterator[tuple]:
     """(conv_id, window, formatted, repeated, loss) of turns (conv_id, role, text) in order."""
@@ -107,9 +116,9 @@ def windows(turns: Iterator[tuple[object, str, str]], budget: int = BUDGET, hist
             yield from emit(True)
             fresh, sizes, tail, tail_sizes, system, conv, number = [], [], [], [], None, key, 0
             if role == "system":
-                system = ((role, text), tokens(text) + MARKS)
+                system = ((role, text), tokens(escape(text)) + MARKS)
         fresh.append((role, text))
-        sizes.append(tokens(text) + MARKS)
+        sizes.append(tokens(escape(text)) + MARKS)
         yield from emit(False)
     yield from emit(True)
 

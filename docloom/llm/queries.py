@@ -61,7 +61,7 @@ PROBE = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enume
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(rows.unionByName(probe)))
+    return chat.read_back(chat.format_chats(rows.unionByName(probe), tokens=chat.vocabulary_tokens(*public_tokenizer())))
 
 
 QUERIES["op8_chat"] = op8_chat

@@ -52,6 +52,17 @@ def test_windows_keep_the_budget_and_the_system_turn():
     assert targets == [t for r, t in turns if r == "assistant" and t]
 
 
+def test_windows_keep_a_budget_of_vocabulary_tokens():
+    from tokenizers import Tokenizer
+
+    count, slow = chat.vocabulary_tokens(*queries.public_tokenizer()), Tokenizer.from_file(queries.public_tokenizer()[0])
+    turns = [(r, f"antidisestablishmentarianism {i} ### </turn> 你好 " * (i % 7)) for i in range(40) for r in ("user", "assistant")]
+    made = list(chat.windows(((1, r, t) for r, t in turns), 400, 100, count))
+    assert len(made) > 10
+    for _, _, text, repeated, _ in made:
+        assert len(slow.encode(text).ids) <= 400 or len(chat.read_window(text)) - repeated == 1
+
+
 def test_edge_rows(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "first"), (None, 5, "assistant", ""), (2, 1, "assistant", "x " * 50_000), (2, 0, "system", "s")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, window string")
