@@ -5,11 +5,12 @@ the languages of that family. All machines read hashed counts of letter trigrams
 (lower-cased, other signs as one gap), scaled to unit length. Margins are calibrated to probabilities by
 logistic fits; the score is the winner's family probability times its probability within the family.
 
-Training uses about ``PER_LANGUAGE`` labelled rows of each language (fewer if there are many languages),
-chosen by a hash of doc_id; ids,
-sources and labels are never features. A text that is null or holds no letter is ``und`` with score 0,
+Training uses about ``PER_LANGUAGE`` labelled rows of each language, fewer if there are so many languages that these
+would exceed ``ROWS``, but ``LEAST`` or all it has of each; every language is learned. Rows are chosen by a hash of
+doc_id; ids, sources and labels are never features. A text that is null or holds no letter is ``und`` with score 0,
 as is every text if nothing was learned. Predictions treat rows one by one: ties between languages go
-to the first by name, repeated rows are predicted alike, an empty table gives no row.
+to the first by name, repeated rows are predicted alike, very long texts are read whole, an empty table gives no row.
+Other columns are ignored by ``identify`` and kept as they are, whatever their names, by ``known_languages``.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from docloom.llm.common import small_batches, worker_cache
 
 FEATURES = 4096
 PER_LANGUAGE = 800
-#: Languages learned at most, the most frequent ones.
-LANGUAGES = 200
-#: Rows learned from at most, over all languages.
-ROWS = 8000
+#: Rows learned from, over all languages, unless ``LEAST`` rows of each are more.
+ROWS, LEAST = 8000, 20
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -174,11 +173,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel |
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     small_batches(docs.sparkSession)
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    wanted = min(per_language, ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, wanted / n))])
+    wanted = min(per_language, max(LEAST, ROWS // len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, wanted / n))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = usable.filter(place < F.element_at(share, F.col("lang")))
 
@@ -229,5 +228,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def known_languages(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language cannot be told (``und``)."""
-    kept = docs.columns
-    return predict(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*kept)
+    model = train(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, known = batch.column(batch.schema.names.index("text")).to_pylist(), []
+            for i in range(0, len(texts), 256):
+                part = texts[i : i + 256]
+                known += [name != UNKNOWN for name in model.predict(part)[0]] if model else [False] * len(part)
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

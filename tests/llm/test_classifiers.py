@@ -31,11 +31,43 @@ def test_language_edge_rows(spark):
     assert {r.score for r in language.identify(df).collect() if r.lang_pred == "und"} == {0.0}
     assert language.identify(df.limit(0)).collect() == []
     kept = language.known_languages(df)
-    assert kept.columns == df.columns and kept.count() == 3
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r.text and r.doc_id not in (2, 3))
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", df.lang.substr(0, 0)).filter("false").unionByName(df.selectExpr(
         "doc_id", "text", "cast(null as string) lang", "score"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "svm", lambda x, y: (np.zeros(x.shape[1]), 0.0, 1.0, 0.0))  # only who competes
+    rows = [(10 * i + k, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} " * 20, f"l{i:03d}") for i in range(230) for k in range(3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    learned = {name for contest in model.within.values() for name in contest.names}
+    assert learned == {lang for doc, _, lang in rows if zlib.crc32(str(doc).encode()) % 4 != 2}
+
+
+def test_decisions_against_one_versus_one_by_hand():
+    rng = np.random.default_rng(2)
+    names = np.array(["de", "en", "fr", "it"])
+    centres = rng.normal(0, 1, (4, 12))
+    labels = names[rng.integers(0, 4, 300)]
+    x = (centres[np.searchsorted(names, labels)] + rng.normal(0, 0.8, (300, 12))).astype(np.float32)
+    contest = language.Contest.fit(x, labels.astype(object))
+    best, share = contest.decide(x)
+    for row, found, sure in zip(x, best, share, strict=True):
+        votes, chances, machine = dict.fromkeys(names, 0), {n: [] for n in names}, 0
+        for i, one in enumerate(names):
+            for two in names[i + 1 :]:
+                margin = float(np.dot(row, contest.weights[machine]) + contest.biases[machine])
+                p = 1 / (1 + np.exp(-(margin * contest.slopes[machine] + contest.shifts[machine])))
+                votes[one if p >= 0.5 else two] += 1
+                chances[one].append(p)
+                chances[two].append(1 - p)
+                machine += 1
+        most = max(votes.values())
+        winner = max((n for n in names if votes[n] == most), key=lambda n: np.mean(chances[n]))
+        assert contest.names[found] == winner and abs(np.mean(chances[winner]) - sure) < 1e-5
+    assert (names[best] == labels).mean() > 0.85
+
+
 def test_machine_separates_and_calibrates():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(1, 1, (200, 5)), rng.normal(-1, 1, (200, 5))]).astype(np.float32)
@@ -57,7 +89,11 @@ def test_quality_on_labelled_documents(spark):
     assert len(got) == docs.count()
     unseen = labels.filter(asked).collect()
     assert sum((got[r.doc_id].quality >= 0.5) == bool(r.quality) for r in unseen) >= 0.93 * len(unseen)
-    assert sum((got[r.doc_id].toxic > 0.5) == bool(r.toxic) for r in unseen) >= 0.88 * len(unseen)
+    flagged = [r for r in unseen if got[r.doc_id].toxic > 0.5]
+    toxic = [r for r in unseen if r.toxic]
+    print("toxic:", len(toxic), "flagged:", len(flagged), "right:", sum(bool(r.toxic) for r in flagged))
+    assert sum(bool(r.toxic) for r in flagged) >= 0.9 * len(flagged)  # precision
+    assert sum(got[r.doc_id].toxic > 0.5 for r in toxic) >= 0.4 * len(toxic)  # recall; "never toxic" has none
     assert all(r.keep == (r.quality >= 0.5 and r.toxic <= 0.5) and abs(r.score - r.quality * (1 - r.toxic)) < 1e-9 for r in got.values())
 
 
