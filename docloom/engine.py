@@ -31,23 +31,48 @@ class Engine:
         self.texts = Collection(spark, f"{root}/text_points", parsed(TEXT_POINT))
         self.visuals = Collection(spark, f"{root}/multimodal_points", parsed(MM_POINT))
 
-    def ingest(self, path: str, parser, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def ingest(self, path: str, parser, out: str | None = None, recogniser=None) -> tuple[DataFrame, DataFrame]:
         """(documents, rejected files) of the uploads below ``path``.
 
-        ``parser.items(bytes)`` yields (label, text, page, grid) for a PDF; types without a parser give empty
+        ``parser.items(bytes)`` yields (label, text, page, grid) for a PDF. A parser that also has ``pages(bytes)``, which
+        yields (page, its text, an image of it or None), gives sections by page to documents without any. A
+        ``recogniser`` reads the text of scanned pages and of image uploads. Types without a parser give empty
         documents with a note. With ``out``, documents are also exported there as JSON.
         """
         found = files.scan_uploads(self.spark, path)
         good = files.accepted(found)
-        items = models.parse_files(files.route(good, "pdf"), parser)
-        parsed_ones = assembly.documents(files.route(good, "pdf"), items)
-        made = parsed_ones.unionByName(files.placeholders(good).drop("sections"), allowMissingColumns=True)
+        pdfs = files.route(good, "pdf")
+        items = models.parse_files(pdfs, parser)
+        pages = models.read_pages(pdfs, parser) if hasattr(parser, "pages") else None
+        read = unread = None
+        if recogniser is not None and pages is not None:
+            scanned = assembly.scanned_pages(pages, assembly.sections(items.filter(F.col("error").isNull())))
+            text = assembly.ocr_text(models.recognise_text(recogniser)(F.col("content")))
+            read = assembly.page_sections(pages.join(scanned, ["document_id", "page"], "left_semi").select("document_id", "page", text.alias("text")))
+            unread = assembly.ocr_errors(scanned, read)
+        made = assembly.documents(pdfs, items, pages, read, unread)
+        if read is not None:
+            made = made.join(read.select("document_id").distinct().withColumn("ocr_applied", F.lit(True)), "document_id", "left").withColumn(
+                "ocr_applied", F.coalesce("ocr_applied", F.lit(False)))
+        made = made.unionByName(files.placeholders(good).drop("sections"), allowMissingColumns=True).unionByName(
+            self.image_uploads(good, recogniser), allowMissingColumns=True)
         fields = {f.name: F.lit(None).cast(f.dataType) for f in parsed(DOCUMENT).fields}
         made = with_defaults(made.withColumns({k: v for k, v in fields.items() if k not in made.columns}).select(*fields))
         if out is not None:
             export_documents(made, out)
         return made, found.filter(F.col("rejected").isNotNull()).select("path", "rejected")
 
+    def image_uploads(self, uploads: DataFrame, recogniser=None) -> DataFrame:
+        """Documents of image files: one section of the recognised text, or none and a note."""
+        text = F.lit("") if recogniser is None else assembly.ocr_text(models.recognise_text(recogniser)(F.col("content")))
+        images = uploads.filter(F.col("file_type").isin("image")).withColumn("text", text)
+        nested = files.image_documents(images, "text").groupBy("document_id").agg(
+            F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "heading", "text", F.col("level").cast("int").alias("level"))).alias("sections"))
+        made = images.select("document_id", "filename").join(nested, "document_id", "left")
+        note = F.when(F.col("sections").isNull(), F.array(F.lit("No text was recognised in the image.")))
+        return made.select("document_id", "filename", F.lit("").alias("title"), "sections", note.alias("parse_errors"),
+                           F.col("sections").isNotNull().alias("ocr_applied"))
+
     def text_points(self, documents: DataFrame) -> DataFrame:
         """Points of parsed documents' chunks."""
         chunks = chunking.chunk_documents(documents)

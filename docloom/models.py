@@ -6,6 +6,7 @@ batches of ``batch`` rows and is made once for each Python worker task.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -16,25 +17,17 @@ from pyspark.sql import functions as F
 
 from docloom.schemas import TEXT_DIM, VISUAL_DIM
 
-# What a captioning model is asked, by class.
+#: What a captioning model is asked, by class of image.
 PROMPTS = {
-    "figure": "Describe this scientific figure in detail. State exactly what is shown: the type of visualisation, axes labels "
-              "if present, data trends, colour coding, annotations, and any text visible in the image. Be specific and factual.",
-    "diagram": "Describe this diagram precisely. Identify all components, their relationships, directional flows, labels, and any "
-               "hierarchical structure. Do not interpret — describe.",
-    "flowchart": "Describe this flowchart. List every node, decision point, and edge in the flow. Include all visible labels and "
-                 "the overall process being represented.",
-    "architecture": "Describe this system or neural network architecture diagram. Identify all layers, modules, connections, "
-                    "data flow directions, and any labels, dimensions, or annotations shown.",
-    "chart": "Describe this chart in detail. State the chart type, title, axis labels, units, legend entries, approximate values "
-             "for key data points, and any visible trends.",
-    "table": "Describe this table. State the column headers, the number of rows, and summarise the key values or comparisons presented.",
-    "equation": "Describe this mathematical expression. State the symbols, operators, and what equation or formula is shown. If "
-                "LaTeX notation is recognisable, state it.",
-    "screenshot": "Describe this screenshot. State what application or interface is shown, visible text, UI elements, and any data "
-                  "or content displayed.",
-    "unknown": "Describe this image in detail. State everything that is visible including objects, text, colours, shapes, and "
-               "spatial relationships.",
+    "figure": "What does this figure from a paper show? Name its kind, what the axes or parts stand for, the trend, and any lettering.",
+    "diagram": "Which parts does this diagram have, and how are they connected or nested? Repeat its labels; leave interpretation out.",
+    "flowchart": "Go through this flowchart step by step: the steps, the decisions with their outcomes, and their labels.",
+    "architecture": "Which layers or modules does this architecture have, what flows between them, and which sizes are written there?",
+    "chart": "Which kind of chart is this? Give its title, axes with units, legend, the values that can be read, and the trend.",
+    "table": "Which columns does this table have, how many rows, and which values or differences stand out?",
+    "equation": "Write this formula down, as LaTeX if possible, and name its symbols and operators.",
+    "screenshot": "Which program or page does this screenshot show? Give the visible text, the controls and the data.",
+    "unknown": "Say what can be seen in this image: things, text, colours and how they are arranged.",
 }
 TEXT_BATCH, IMAGE_BATCH = 32, 4
 
@@ -165,3 +158,20 @@ def parse_files(files: DataFrame, parser, schema: str = "document_id string, seq
             yield pd.DataFrame(rows, columns=["document_id", "seq", "label", "text", "page", "grid", "error"])
 
     return files.select("document_id", "content").mapInPandas(run, schema)
+
+
+def read_pages(files: DataFrame, parser) -> DataFrame:
+    """(document_id, page, text, content) of ``files`` (document_id, content): ``parser.pages(bytes)`` yields
+    (page, its own text, an image of it or None). A file that cannot be read has no page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, content in zip(pdf["document_id"], pdf["content"], strict=True):
+                try:
+                    rows += [(doc, page, text, image) for page, text, image in parser.pages(content)]
+                except Exception:
+                    logging.getLogger(__name__).warning("pages of %s could not be read", doc, exc_info=True)
+            yield pd.DataFrame(rows, columns=["document_id", "page", "text", "content"])
+
+    return files.select("document_id", "content").mapInPandas(run, "document_id string, page int, text string, content binary")

@@ -131,12 +131,14 @@ def image_boxes(images: DataFrame, info: DataFrame) -> DataFrame:
     return images.join(first, ["document_id", "page", "xref"], "left")
 
 
-def documents(files: DataFrame, items: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def documents(files: DataFrame, items: DataFrame, pages: DataFrame | None = None, recognised: DataFrame | None = None,
+              unread: DataFrame | None = None) -> DataFrame:
     """Parsed documents of ``files`` (document_id, filename) from their layout items, nested as one row each.
 
     ``items`` are (document_id, seq, label, text, page, grid, error). A document without sections takes those
-    of its ``pages`` (document_id, page, text), if given, and its title from the first of them. Errors of
-    items go into parse_errors.
+    of its ``pages`` (document_id, page, text), if given, and its title from the first of them. Sections of
+    ``recognised`` pages (document_id, page, heading, text, level) stand in the place of those pages' own. Errors of
+    items and of ``unread`` pages (document_id, error) go into parse_errors.
     """
     read = items.filter(F.col("error").isNull())
     found = sections(read)
@@ -144,12 +146,18 @@ def documents(files: DataFrame, items: DataFrame, pages: DataFrame | None = None
         plain = pages.join(found.select("document_id").distinct(), "document_id", "left_anti")
         found = found.unionByName(page_sections(plain).withColumn("section", F.col("page").cast("long")))
 
+    if recognised is not None:
+        seq = F.col("page").cast("long") * (1 << 32)
+        found = with_ocr(found.withColumn("section", seq + F.col("section")), recognised.withColumn("section", seq))
+
     def nested(rows: DataFrame, order: str, fields: list[str], name: str) -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("v"))))
         return rows.groupBy("document_id").agg(F.transform(parts, lambda p: p["v"]).alias(name))
 
     first = F.min_by("text", "section")
-    errors = items.filter(F.col("error").isNotNull()).groupBy("document_id").agg(F.sort_array(F.collect_list("error")).alias("parse_errors"))
+    wrong = items.filter(F.col("error").isNotNull()).select("document_id", "error")
+    wrong = wrong if unread is None else wrong.unionByName(unread.select("document_id", "error"))
+    errors = wrong.groupBy("document_id").agg(F.sort_array(F.collect_list("error")).alias("parse_errors"))
     body = found.withColumns({"page": F.col("page").cast("int"), "level": F.col("level").cast("int")})
     named = title(read).withColumnRenamed("title", "named")
     out = files.select("document_id", "filename")

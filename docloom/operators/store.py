@@ -22,14 +22,35 @@ def bucket_of(document_id, buckets: int):
     return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
 
 
-def upserted(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
+def upserted(target: DataFrame, source: DataFrame, key: list[str], sequence: str | None = None) -> DataFrame:
     """``target`` with the rows of ``source`` in place of those with the same key; of several source rows
-    with one key the last by their JSON form stays (maps have no order of their own)."""
-    rest = F.struct(*[c for c in source.columns if c not in key])
-    once = source.groupBy(*key).agg(F.max_by(rest, F.to_json(rest)).alias("s")).select(*key, "s.*")
+    with one key the last stays: that of the greatest ``sequence`` (a column of the source alone), or by place."""
+    rest = F.struct(*[c for c in source.columns if c not in (*key, sequence)])
+    placed = source.withColumn("__place", F.monotonically_increasing_id() if sequence is None else F.col(sequence))
+    once = placed.groupBy(*key).agg(F.max_by(rest, "__place").alias("s")).select(*key, "s.*")
     return target.join(source.select(*key), key, "left_anti").unionByName(once.select(*target.columns))
 
 
+def without(points: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
+    """``points`` but those of the documents ``gone``."""
+    return points.join(gone.select(key).distinct(), key, "left_anti").select(*points.columns)
+
+
+def pending(documents: DataFrame, points: DataFrame, key: str = "document_id") -> DataFrame:
+    """Those of ``documents`` that have no point."""
+    return documents.join(points.select(key).distinct(), key, "left_anti")
+
+
+def indexed(documents: DataFrame, points: DataFrame, key: str = "document_id", flag: str = "indexed") -> DataFrame:
+    """``documents`` with ``flag``: whether they have a point."""
+    held = points.select(key).distinct().withColumn(flag, F.lit(True))
+    return documents.join(held, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def point_counts(points: DataFrame, *by: str) -> DataFrame:
+    return points.groupBy(*by).agg(F.count("*").alias("vectors"))
+
+
 class Collection:
     """A Parquet table of points at a path that all executors reach."""
 
@@ -102,17 +123,17 @@ class Collection:
             return
         ids_df = document_ids if isinstance(document_ids, DataFrame) else self.spark.createDataFrame([(d,) for d in document_ids], "document_id string")
         gone = ids_df.select("document_id", bucket_of(F.col("document_id"), self.buckets).alias("bucket"))
-        self._replace(lambda kept: kept.join(gone.select("document_id"), "document_id", "left_anti").select(*kept.columns), gone)
+        self._replace(lambda kept: without(kept, gone), gone)
 
     def has(self, document_id: str) -> bool:
         return len(self.read(document_id).limit(1).take(1)) > 0
 
     def count(self, document_id: str | None = None) -> int:
-        return self.read(document_id).count()
+        return point_counts(self.read(document_id)).first().vectors
 
     def pending(self, documents: DataFrame) -> DataFrame:
         """Those of ``documents`` that have no point yet."""
-        return documents.join(self.read().select("document_id").distinct(), "document_id", "left_anti")
+        return pending(documents, self.read())
 
 
 def text_points(chunks: DataFrame) -> DataFrame:

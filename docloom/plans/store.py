@@ -38,40 +38,40 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").isNotNull().cast("long")).alias("with_key"))
 
 
-_STATE = "SELECT doc_id, source, lang FROM documents WHERE doc_id % 10 < 6"
+_STATE = "SELECT doc_id, source, lang FROM documents"
 
 
 def _old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("doc_id % 10 < 6").select("doc_id", "source", "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
 
 
 @query("upsert_points", f"""SELECT * FROM ({_STATE}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 BETWEEN 4 AND 7)
   UNION ALL SELECT doc_id, 'new', lang FROM documents WHERE doc_id % 10 BETWEEN 4 AND 7""")
 def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = table(spark, sf_dir, "documents").filter("doc_id % 10 between 4 and 7").select("doc_id", F.lit("new").alias("source"), "lang")
-    return store.upserted(_old(spark, sf_dir), new.unionByName(new.withColumn("source", F.lit("later"))).filter("source = 'new'"), ["doc_id"])
+    twice = new.withColumns({"source": F.lit("older"), "seq": F.lit(1)}).unionByName(new.withColumn("seq", F.lit(2)))
+    return store.upserted(_old(spark, sf_dir), twice, ["doc_id"], "seq")
 
 
 @query("delete_document", f"SELECT * FROM ({_STATE}) WHERE source NOT IN ('src1', 'src2')")
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.createDataFrame([("src1",), ("src2",)], "source string")
-    return _old(spark, sf_dir).join(gone, "source", "left_anti").select("doc_id", "source", "lang")
+    return store.without(_old(spark, sf_dir), gone, "source")
 
 
 @query("pending_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return store.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
 @query("document_exists", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS indexed FROM documents")
 def document_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("indexed", F.lit(True))
-    return table(spark, sf_dir, "documents").select("doc_id").join(seen, "doc_id", "left").fillna(False, ["indexed"])
+    return store.indexed(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("vector_counts", "SELECT label, count(*) AS vectors FROM embeddings GROUP BY label")
 def vector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"))
+    return store.point_counts(table(spark, sf_dir, "embeddings"), "label")
 
 
 @query("document_json", """SELECT doc_id, '{"document_id":"d' || doc_id || '","filename":"' || source || '","title":"","metadata":{"pages":"' || CASE WHEN doc_id % 2 = 0 THEN 99 ELSE 3 END || '"' ||

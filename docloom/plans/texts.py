@@ -22,10 +22,10 @@ _KIND = "CASE WHEN trim(h) = '' THEN 'paragraph' " + " ".join(
 
 @query("classify_heading", f"""SELECT id, h AS heading, {_KIND} AS chunk_type FROM (
   SELECT CAST(id AS BIGINT) AS id, h FROM (VALUES {_VALUES}) AS t(id, h)
-  UNION ALL SELECT doc_id + 1000, split_part(text, chr(10), 1) FROM documents WHERE lang = 'en')""")
+  UNION ALL SELECT doc_id + 1000, split_part(text, chr(10), 1) FROM documents)""")
 def classify_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.createDataFrame(list(enumerate(HEADINGS)), "id long, heading string")
-    first = table(spark, sf_dir, "documents").filter("lang = 'en'").select(
+    first = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1000).alias("id"), F.split("text", "\n")[0].alias("heading"))
     return given.unionByName(first).withColumn("chunk_type", tx.classify_heading(F.col("heading")))
 

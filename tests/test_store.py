@@ -182,3 +182,43 @@ def test_documents_fall_back_to_pages(spark):
     pages = spark.createDataFrame([("d", 1, " "), ("d", 2, " Two "), ("d", 3, "Three")], "document_id string, page int, text string")
     row = assembly.documents(listed, items, pages).first()
     assert row.title == "Two" and [(s.page, s.text) for s in row.sections] == [(2, "Two"), (3, "Three")]
+
+
+def test_ingest_recognises_images_and_scanned_pages(spark, tmp_path):
+    class Paper:
+        def items(self, content):
+            yield "title", "Named", 1, None
+            yield "text", "A long native text. " * 20, 1, None
+
+        def pages(self, content):
+            yield 1, "A long native text. " * 20, None
+            yield 2, "", b"scan"
+            yield 3, " ", b"blank"
+
+    class Reader:
+        def read(self, image):
+            if image == b"blank":
+                return []
+            if image == b"broken":
+                raise ValueError("no image")
+            return [("low", 0.9, [[0.0, 9.0]]), (f"seen {image.decode()}", 0.9, [[0.0, 1.0]]), ("unsure", 0.1, [[0.0, 2.0]])]
+
+    up = tmp_path / "up"
+    up.mkdir()
+    for name, body in (("a.pdf", "x"), ("b.png", "cat"), ("c.jpg", "broken")):
+        (up / name).write_text(body)
+    engine = Engine(spark, str(tmp_path / "store"), models.HashEmbedder(16))
+    made, rejected = engine.ingest(str(up), Paper(), recogniser=Reader())
+    got = {r.filename: r for r in made.collect()}
+    assert rejected.count() == 0 and sorted(got) == ["a.pdf", "b.png", "c.jpg"]
+    assert [(s.page, s.text) for s in got["a.pdf"].sections][1:] == [(2, "seen scan\nlow")] and got["a.pdf"].sections[0].heading == "Named"
+    assert got["a.pdf"].ocr_applied and got["a.pdf"].parse_errors == ["OCR produced no text for page 3."]
+    assert [(s.page, s.text) for s in got["b.png"].sections] == [(1, "seen cat\nlow")] and got["b.png"].ocr_applied
+    assert got["c.jpg"].sections == [] and got["c.jpg"].parse_errors and not got["c.jpg"].ocr_applied
+    plain = {r.filename: r for r in engine.ingest(str(up), Paper())[0].collect()}
+    assert sorted(plain) == ["a.pdf", "b.png", "c.jpg"] and plain["b.png"].parse_errors and not plain["a.pdf"].ocr_applied
+
+
+def test_the_last_of_equal_keys_stays(spark):
+    source = rows(spark, ("d", "k", "z"), ("d", "k", "a"))
+    assert [tuple(r) for r in upserted(rows(spark), source, ["document_id", "chunk_id"]).collect()] == [("d", "k", "a")]
