@@ -36,10 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``df`` whose shuffle files are removed when an action on it has ended, not when the driver next collects garbage."""
+    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return df.select("*")
+    finally:
+        conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return freed(df).checkpoint()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, freed
 
 
 def _star(both: DataFrame, large: bool) -> DataFrame:
@@ -38,8 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         bigger = _star(both, large=True).filter("u != v").distinct()
         small = bigger.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         now = cut(_star(small, large=False).filter("u != v").distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-                       F.count_if(F.col("u") < F.col("v")).alias("up")).first()
+        seen = freed(now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
+                             F.count_if(F.col("u") < F.col("v")).alias("up"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)

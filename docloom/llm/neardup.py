@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import (
-    cut, gram_hash, id_filter, mix, partitions_for, perhaps_in, prefix_hash, range_hash, small_batches, text_blocks, word_bounds,
+    cut, freed, gram_hash, id_filter, mix, partitions_for, perhaps_in, prefix_hash, range_hash, small_batches, text_blocks, word_bounds,
 )
 from docloom.llm.components import components
 from docloom.llm.simhash import links
@@ -86,7 +86,7 @@ def counted(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, known: in
 
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("doc_id", "text")
     found = picked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    got = found.orderBy(F.desc("n"), "key").limit(known).toArrow()
+    got = freed(found.orderBy(F.desc("n"), "key").limit(known)).toArrow()
     keys, counts = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
