@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -53,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return freed(df).checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage, Python's first, as its objects hold those of the JVM.
+
+    Spark removes broadcasts and shuffles of finished jobs, here and on the executors, only when the driver's JVM finds them
+    unreachable. Many short jobs leave many of them before a roomy heap is collected by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of the session's Arrow batches; a lower bound that is set already stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

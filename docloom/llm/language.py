@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import small_batches, worker_cache
+from docloom.llm.common import release, small_batches, worker_cache
 
 FEATURES = 4096
 PER_LANGUAGE = 800
@@ -189,6 +189,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel |
 
     rows = sorted((r.lang, bytes(r.x)) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").collect())
     x = np.stack([np.frombuffer(v, np.float16) for _, v in rows]).astype(np.float32) if rows else np.zeros((0, FEATURES), np.float32)
+    release(docs.sparkSession)
     some = x.any(axis=1)
     labels = np.array([lang for lang, _ in rows], object)[some]
     x = x[some]

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import (
-    cut, freed, gram_hash, id_filter, mix, partitions_for, perhaps_in, prefix_hash, range_hash, small_batches, text_blocks, word_bounds,
+    cut, freed, gram_hash, id_filter, mix, partitions_for, perhaps_in, prefix_hash, range_hash, release, small_batches, text_blocks,
+    word_bounds,
 )
 from docloom.llm.components import components
 from docloom.llm.simhash import links
@@ -372,7 +373,9 @@ def labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def grown(drawn: DataFrame | None, more: DataFrame) -> DataFrame:
     """(whole, label) of the groups ``drawn``, joined by the links ``more`` (u, v)."""
     known = more if drawn is None else drawn.select(F.col("whole").alias("u"), F.col("label").alias("v")).unionByName(more)
-    return cut(components(known).select(F.col("node").alias("whole"), "label"))
+    found = cut(components(known).select(F.col("node").alias("whole"), "label"))
+    release(found.sparkSession)
+    return found
 
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
