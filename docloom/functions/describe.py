@@ -173,8 +173,10 @@ def chart_class(circles: Column, vertical: Column, horizontal: Column) -> Column
 
 
 def fitted_size(width: Column, height: Column, longest: int = 2048, shortest: int = 1024) -> Column:
-    """Size of an image for a vision model: longer side, then shorter side brought to a limit, never enlarged."""
-    one = F.least(F.lit(1.0), longest / F.greatest(width, height))
+    """Size of an image for a vision model: longer side, then shorter side brought to a limit, never enlarged. A side that is
+    less than a pixel then is 0."""
+    share = lambda limit, side: F.when(side > limit, limit / side).otherwise(1.0)
+    one = share(longest, F.greatest(width, height))
     w, h = F.floor(width * one), F.floor(height * one)
-    two = F.least(F.lit(1.0), shortest / F.least(w, h))
+    two = share(shortest, F.least(w, h))
     return F.struct(F.floor(w * two).cast("int").alias("width"), F.floor(h * two).cast("int").alias("height"))
